@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, license_scan, packing, quality_rules, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_fertility_rules": quality_rules.op1_fertility_rules,
+        "op3_warc_writer": warc.op3_warc_writer,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_mixture_packing": packing.op8_mixture_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op3_warc_writer": warc.OP3_SQL, "op6_license_scan": license_scan.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
