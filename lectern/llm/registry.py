@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, packing, quality_rules, simhash, warc
+from . import compression, exact_dedup, interpolation, license_scan, packing, quality_rules, simhash, substring, warc
 
 
 def queries() -> dict:
     return {
         "op1_fertility_rules": quality_rules.op1_fertility_rules,
+        "op2_compression_classifier": compression.op2_compression_classifier,
         "op3_warc_writer": warc.op3_warc_writer,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mixture_packing": packing.op8_mixture_packing,
+        "op9_deleted_interpolation": interpolation.op9_deleted_interpolation,
+        "op10_substring_dedup": substring.op10_substring_dedup,
     }
 
 

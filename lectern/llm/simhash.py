@@ -26,7 +26,8 @@ from .common import lower_ascii, map_batches, raw_texts, table, words_of
 from .components import components
 
 BITS = 64
-DENSE = 1024  # up to so many fingerprints are compared with each other at once
+STRIP = 64  # fingerprints compared with all others at once
+WHOLE = 50_000  # a bucket above this is split again before any comparison
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -81,57 +82,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long, second long")
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-        self.links: list[tuple[int, int]] = []
-
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return a
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+def _links(x: np.ndarray, y: np.ndarray, radius: int, second_radius: int) -> list[tuple[int, int]]:
+    """A link from each place to one that reached it, breadth first; each place is compared
+    only with those not reached yet, so a dense group costs little more than its size."""
+    left, out = np.arange(len(x)), []
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            now, front = front[:STRIP], front[STRIP:]
+            near = np.bitwise_count(x[now, None] ^ x[None, left]) <= radius
+            if second_radius < BITS:
+                near &= np.bitwise_count(y[now, None] ^ y[None, left]) <= second_radius
+            hit = near.any(axis=0)
+            if hit.any():
+                new = left[hit]
+                out += zip(now[near[:, hit].argmax(axis=0)].tolist(), new.tolist())
+                front, left = np.concatenate([front, new]), left[~hit]
+    return out
 
 
 def forest(fps: np.ndarray, second: np.ndarray, radius: int, second_radius: int, masks: list[int]) -> list[tuple[int, int]]:
     """Links (places in ``fps``) that connect what is linked within both radii."""
-    f = _Forest(len(fps))
-
-    def dense(at: np.ndarray) -> None:
-        x, y = fps[at], second[at]
-        for lo in range(0, len(at), DENSE):
-            near = np.bitwise_count(x[lo : lo + DENSE, None] ^ x[None, lo:]) <= radius
-            if second_radius < BITS:
-                near &= np.bitwise_count(y[lo : lo + DENSE, None] ^ y[None, lo:]) <= second_radius
-            for a, b in zip(*np.nonzero(np.triu(near, 1))):
-                f.join(int(at[lo + a]), int(at[lo + b]))
-
-    def split(at: np.ndarray) -> None:
-        if len(at) < 2:
-            return
-        if len(at) <= DENSE:
-            return dense(at)
-        x = fps[at]
-        for m in masks:
-            key = x & np.uint64(m)
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[order])) + 1
-            parts = np.split(order, cut)
-            if len(parts) == 1:  # this mask tells nothing apart: compare in blocks
-                return dense(at)
-            for p in parts:
-                if len(p) == 1:
-                    continue
-                (dense if len(p) <= DENSE or len(p) == len(at) else split)(at[p])
-
-    split(np.arange(len(fps)))
-    return f.links
+    if len(fps) <= WHOLE:
+        return _links(fps, second, radius, second_radius)
+    out = []
+    for m in masks:  # every pair within the radius meets in one of these parts
+        key = fps & np.uint64(m)
+        order = np.argsort(key, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                out += [(int(part[a]), int(part[b])) for a, b in _links(fps[part], second[part], radius, second_radius)]
+    return out
 
 
 def near_links(nodes: DataFrame, radius: int = 3, second_radius: int = BITS) -> DataFrame:
