@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression, exact_dedup, interpolation, license_scan, packing, quality_rules, simhash, substring, warc
+from . import compression, exact_dedup, interpolation, license_scan, maxplus, packing, quality_rules, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_compression_classifier": compression.op2_compression_classifier,
         "op3_warc_writer": warc.op3_warc_writer,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_maxplus_pieces": maxplus.op5_maxplus_pieces,
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mixture_packing": packing.op8_mixture_packing,
