@@ -116,43 +116,46 @@ def forest(fps: np.ndarray, second: np.ndarray, radius: int, second_radius: int,
 
 
 def near_links(nodes: DataFrame, radius: int = 3, second_radius: int = BITS) -> DataFrame:
-    """(u, v): links among ``nodes`` (node, fp, second; one row a node) that connect exactly what
-    a comparison of all pairs would connect."""
+    """(fu, su, fv, sv): links among the distinct pairs (fp, second) of ``nodes`` that connect exactly
+    what a comparison of all pairs would connect."""
     masks = covering_masks(radius)
-    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)).alias("key")) for k, m in enumerate(masks))))
-    rows = nodes.select("node", "fp", "second", tables.alias("x")).select("x.t", "x.key", "node", "fp", "second")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, signed)), F.col("t") + 1))
+    rows = nodes.select("fp", "second", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    names = ["fu", "su", "fv", "sv"]
 
-    def links(node: np.ndarray, fp: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
+    def links(fp: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
         found = forest(fp.view(np.uint64), second.view(np.uint64), radius, second_radius, masks)
         if not found:
             return None
-        e = node[np.array(found)]
-        return pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
+        at = np.array(found)
+        return pa.record_batch([pa.array(x[at[:, k]]) for k in (0, 1) for x in (fp, second)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stream is sorted by table and key; the open bucket waits for the next batch."""
         held: list[np.ndarray] = []
+        masked = np.array(masks, dtype=np.uint64)
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if held:
                 now = [np.concatenate([h, x]) for h, x in zip(held, now)]
-            t, key = now[:2]
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            fp, second, t = now
+            k = fp.view(np.uint64) & masked[t]
+            cut = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             last = cut[-1] if len(cut) else 0
             held = [x[last:] for x in now]
             edges = np.concatenate([[0], cut])
             sizes = np.diff(edges)
             for s, n in zip(edges[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                if out := links(*(x[s : s + n] for x in now[2:])):
+                if out := links(fp[s : s + n], second[s : s + n]):
                     yield out
-        if held and len(held[2]) > 1 and (out := links(*held[2:])):
+        if held and len(held[0]) > 1 and (out := links(*held[:2])):
             yield out
 
-    dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", "node")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    dealt = rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, "fp", "second")
+    return dealt.mapInArrow(run, "fu long, su long, fv long, sv long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, verify_width: int | None = None, verify_radius: int = 12) -> DataFrame:
@@ -171,11 +174,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come; an empty table gives an empty result.
     """
     fps = fingerprints(docs, id_col, text_col, width, verify_width)
-    node = F.col("fp") if verify_width is None else F.xxhash64("fp", "second")
-    fps = write_table(fps.withColumn("node", node), "fingerprints")
-    classes = write_table(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.min("doc_id").alias("least")), "classes")
-    roots = components(near_links(classes, radius, BITS if verify_width is None else verify_radius))
-    of = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node = (lambda fp, second: F.col(fp)) if verify_width is None else (lambda fp, second: F.xxhash64(fp, second))
+    fps = write_table(fps.withColumn("node", node("fp", "second")), "fingerprints")
+    classes = write_table(fps.groupBy("fp", "second").agg(F.min("doc_id").alias("least")), "classes")
+    links = near_links(classes, radius, BITS if verify_width is None else verify_radius)
+    roots = components(links.select(node("fu", "su").alias("u"), node("fv", "sv").alias("v")))
+    of = classes.select(node("fp", "second").alias("node"), "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = write_table(of, "roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = write_table(of.join(least, "root").select("node", "component_id"), "named")
