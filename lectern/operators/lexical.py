@@ -172,20 +172,26 @@ def atoms_of(node: Node, wanted: bool = True) -> list[Atom]:
     return [a for p in parts for a in atoms_of(p)]
 
 
+def in_a_row(tokens: Column, n: int) -> Column:
+    """Each token with the n - 1 after it, as structs of fields "0" to "n-1"; null past the end.
+
+    The lambdas over it see one element alone: naming the whole array inside a lambda would have
+    the optimizer put its making there, once for each element."""
+    return F.arrays_zip(*((tokens if k == 0 else F.slice(tokens, k + 1, 1 << 30)).alias(str(k)) for k in range(n)))
+
+
 def _places(tokens: Column, atom: Atom) -> Column:
     """Where a phrase starts in an array of tokens, from 0."""
     *exact, last = atom.words
-    n = len(atom.words)
 
-    def here(i: Column) -> Column:
-        at = lambda k: F.get(tokens, i + k)
-        ok = at(n - 1).startswith(last) if atom.prefix else at(n - 1) == F.lit(last)
+    def here(s: Column, i: Column) -> Column:
+        end = s[str(len(exact))]
+        ok = end.startswith(last) if atom.prefix else end == F.lit(last)
         for k, w in enumerate(exact):
-            ok = ok & (at(k) == F.lit(w))
-        return ok & (i == 0) if atom.first else ok
+            ok = ok & (s[str(k)] == F.lit(w))
+        return F.when(ok & (i == 0) if atom.first else ok, i)
 
-    spots = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(spots, here)
+    return F.filter(F.transform(in_a_row(tokens, len(atom.words)), here), lambda i: i.isNotNull())
 
 
 def _count(fields: dict[str, Column], atom: Atom) -> Column:
@@ -257,12 +263,13 @@ def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: s
 
 def postings(rows: DataFrame, text_cols: list[str], id_col: str) -> DataFrame:
     """(term, id, tf, len): one row for each distinct term of each row.  No shuffle: terms are counted within the row."""
-    tokens = F.concat(*(F.coalesce(search_tokens(c), F.array().cast("array<string>")) for c in text_cols))
-    listed = rows.select(F.col(id_col).alias("id"), F.array_sort(tokens).alias("t"), F.size(tokens).alias("len"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    terms = listed.filter(F.size("t") > 0).withColumn("s", starts)
-    ends = F.zip_with("s", F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("t"))), lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).alias("tf")))
-    return terms.select("id", "len", F.explode(ends).alias("x")).select("x.term", "id", F.col("x.tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
+    tokens = F.array_sort(F.concat(*(F.coalesce(search_tokens(c), F.array().cast("array<string>")) for c in text_cols)))
+    # where each term's run begins in the sorted tokens, then how long it is
+    begins = lambda t: F.filter(F.transform(in_a_row(F.concat(F.array(F.lit("")), t), 2), lambda s, i: F.when(s["0"] != s["1"], F.struct(s["1"].alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+    listed = rows.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), begins(tokens).alias("s")).filter("len > 0")
+    nexts = F.concat(F.transform(F.slice("s", 2, F.size("s")), lambda x: x["at"]), F.array(F.col("len")))
+    terms = listed.select("id", "len", F.explode(F.arrays_zip(F.col("s").alias("s"), nexts.alias("e"))).alias("x"))
+    return terms.select(F.col("x.s.term").alias("term"), "id", (F.col("x.e") - F.col("x.s.at")).cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
 
 
 def write_postings(rows: DataFrame, text_cols: list[str], id_col: str, path: str) -> None:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
+from .lexical import in_a_row
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    spots = F.when(F.size(tokens) >= width, F.sequence(F.lit(0), F.size(tokens) - width)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spots, lambda i: F.array_join(F.slice(tokens, i + 1, width), " ")))
+    """The distinct runs of ``width`` tokens, joined by spaces."""
+    rows = F.filter(in_a_row(tokens, width), lambda s: s[str(width - 1)].isNotNull())
+    return F.array_distinct(F.transform(rows, lambda s: F.concat_ws(" ", *(s[str(k)] for k in range(width)))))
 
 
 def share_found(wanted: Column, found: Column) -> Column:

@@ -32,7 +32,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 _TOKENS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
 
 
-def _bm25_sql(match: str, terms: list[str]) -> str:
+def _bm25_sql(match: str, terms: list[str], unscored: str = "0") -> str:
     """``terms``: SQL expressions of a phrase's frequency in the token list t."""
     cols = ", ".join(f"CAST({x} AS DOUBLE) AS n{j}" for j, x in enumerate(terms))
     stat = ", ".join(f"count(*) FILTER (WHERE n{j} > 0) AS d{j}" for j in range(len(terms)))
@@ -40,7 +40,7 @@ def _bm25_sql(match: str, terms: list[str]) -> str:
     score = " + ".join(f"({idf(j)}) * n{j} * 2.2 / (n{j} + 1.2 * (0.25 + 0.75 * len / s.a))" for j in range(len(terms)))
     return f"""
 WITH tok AS (SELECT doc_id, source, lang, {_TOKENS} AS t FROM documents),
-c AS (SELECT doc_id, source, lang, CAST(len(t) AS DOUBLE) AS len, {cols} FROM tok),
+c AS (SELECT doc_id, source, lang, CAST(len(t) AS DOUBLE) AS len, {unscored} AS without, {cols} FROM tok),
 s AS (SELECT count(*) AS n, avg(len) AS a, {stat} FROM c),
 r AS (SELECT doc_id, source, lang, {score} AS score FROM c, s WHERE {match})
 SELECT doc_id, source, lang, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 10
@@ -78,7 +78,7 @@ def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, "that OR elle")
 
 
-@query(_bm25_sql("n0 > 0 AND len(list_filter(t, lambda x: x = 'with')) = 0", [_count("that")]))
+@query(_bm25_sql("n0 > 0 AND without = 0", [_count("that")], _count("with")))
 def bm25_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, "that NOT with")
 
@@ -111,7 +111,7 @@ def _knn_sql(metric: str) -> str:
     return f"""
 WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 d AS (SELECT e.vec_id, {_DIST[metric]} AS distance FROM embeddings e, q)
-SELECT vec_id, round(distance, 6) AS distance FROM d ORDER BY d.distance, vec_id LIMIT 10"""
+SELECT vec_id, abs(round(distance, 6)) AS distance FROM d ORDER BY d.distance, vec_id LIMIT 10"""
 
 
 @query(_knn_sql("l2"))
@@ -123,7 +123,7 @@ def knn_l2_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_knn_sql("cosine"))
 def knn_cosine_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    return vector.nearest(v, _probe(v), 10, "vec_id", metric="cosine").select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return vector.nearest(v, _probe(v), 10, "vec_id", metric="cosine").select(F.col("id").alias("vec_id"), F.abs(F.round("distance", 6)).alias("distance"))
 
 
 @query(f"""
