@@ -1,6 +1,6 @@
 """Blocks of documents that ask the whole corpus about their keys.
 
-A text table is dealt by a hash of the id into blocks of some 8 MB.  A block sends each of its
+A text table is dealt by a hash of the id into blocks of some 16 MB.  A block sends each of its
 distinct keys (64-bit hashes) once, packed by key range, to the reducer of that range, and
 gets one packed answer a range back, in the order it asked: keys travel one way and
 small answers the other.  A key that fills a third of all rows is one key for each block.
@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 U8, U4 = np.dtype("<u8"), np.dtype("<u4")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def block_count(docs: DataFrame) -> int:
-    """A power of two: by the plan's estimate of the input's bytes, and no fewer than the shuffle partitions."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    want = max(partitions(docs.sparkSession), -(-min(size, 1 << 50) // BLOCK_BYTES))
+def block_count(docs: DataFrame, text_col: str = "text") -> int:
+    """A power of two: by the bytes of all texts, counted, and no fewer than the shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    want = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
     n = 1
     while n < want:
         n *= 2

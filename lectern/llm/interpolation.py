@@ -69,7 +69,7 @@ def _collected(t: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, deleted: int) -> DataFrame:
     """One row for each document with its tokens' training counts, and histograms of the deleted fold."""
-    n = block_count(docs)
+    n = block_count(docs, text_col)
     rows = to_blocks(docs, n, id_col, text_col).withColumn("fold", id_fold("doc_id", folds))
 
     def ask(t: pa.Table) -> pa.Table:
