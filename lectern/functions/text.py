@@ -69,7 +69,7 @@ def paragraphs(text: Column | str) -> Column:
 
 def reflow(text: Column | str) -> Column:
     """Trimmed lines of a paragraph joined by a space; a run of blank lines is one line feed."""
-    trimmed = F.regexp_replace(_col(text), r"(?m)^[ \t\r]+|[ \t\r]+$", "")
+    trimmed = F.regexp_replace(_col(text), r"(?<=^|\n)[ \t\r]+|[ \t\r]+(?=\n|$)", "")
     marked = F.regexp_replace(trimmed, "\n{2,}", "\u0000")
     joined = F.replace(marked, F.lit("\n"), F.lit(" "))
     return F.regexp_replace(F.translate(joined, "\u0000", "\n"), r"^[ \n]+|[ \n]+$", "")

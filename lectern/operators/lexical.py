@@ -207,6 +207,18 @@ def _count(fields: dict[str, Column], atom: Atom) -> Column:
     return out
 
 
+def _near(places: list[Column], sizes: list[int], distance: int) -> Column:
+    """Has some occurrence of the first phrase one of each other with at most ``distance`` words between?"""
+
+    def close(i: Column) -> Column:
+        ok = F.lit(True)
+        for spots, n in zip(places[1:], sizes[1:]):
+            ok = ok & F.exists(spots, lambda j: F.when(j > i, j - i - sizes[0]).otherwise(i - j - n) <= distance)
+        return ok
+
+    return F.exists(places[0], close)
+
+
 def _matches(node: Node, fields: dict[str, Column]) -> Column:
     if node.kind == "atom":
         return _count(fields, node.atom) > 0 if node.atom.words else F.lit(False)
@@ -215,16 +227,7 @@ def _matches(node: Node, fields: dict[str, Column]) -> Column:
     if node.kind == "near":
         found = F.lit(False)
         for tokens in fields.values():
-            places = [_places(tokens, p.atom) for p in node.parts]
-            # some occurrence of the first phrase has one of each other within the distance
-            def close(i: Column, places=places) -> Column:
-                ok = F.lit(True)
-                for p, part in zip(places[1:], node.parts[1:]):
-                    gap = lambda j, n=len(part.atom.words): F.when(j > i, j - i - len(node.parts[0].atom.words)).otherwise(i - j - n)
-                    ok = ok & F.exists(p, lambda j: gap(j) <= node.distance)
-                return ok
-
-            found = found | F.exists(places[0], close)
+            found = found | _near([_places(tokens, p.atom) for p in node.parts], [len(p.atom.words) for p in node.parts], node.distance)
         return found
     parts = [_matches(p, fields) for p in node.parts]
     out = parts[0]
