@@ -416,3 +416,70 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.element_at(F.array(F.concat(F.lit("notes/"), n, F.lit(".txt")), F.lit("keep.txt"), F.concat(F.lit("drafts/"), n, F.lit(".md")), F.concat(F.lit("sub/build/"), n, F.lit(".md")), F.concat(F.lit("build/"), n, F.lit(".md"))), (F.col("page_id") % 5 + 1).cast("int"))
     rules = IgnoreRules("*.txt\n!keep.txt\ndrafts/\n/build/\n")
     return _table(spark, sf_dir, "pages").select(made.alias("path")).filter(walked("path") & rules.kept_column("path"))
+
+
+# -- Python at work: no SQL of their own; the tests hold them against goldens -------------------
+
+
+def _page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.parsers import parse
+
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"))
+    return parse(pages)
+
+
+@query(None)
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_sections(spark, sf_dir).select("document_id", "seq", "parent_seq", "level", "heading", "content", "title")
+
+
+@query(None)
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's sections, chunked."""
+    from .operators.chunk import chunk
+
+    return chunk(_page_sections(spark, sf_dir).filter("seq IS NOT NULL")).select("document_id", "chunk_index", "section_path", "heading", "text", "start_byte", "end_byte", "heading_level")
+
+
+@query(None)
+def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.parsers import parse
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("txt").alias("format"), F.col("text").cast("binary").alias("content"))
+    return parse(docs).select("document_id", "seq", "level", "heading", "content", "source_line")
+
+
+@query(None)
+def force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of at most 200 tokens."""
+    from .operators.chunk import ChunkOptions, chunk
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), F.lit(None).cast("int").alias("parent_seq"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("content"))
+    return chunk(docs, ChunkOptions(max_tokens=200, min_tokens=20)).select("document_id", "chunk_index", "text", "start_byte", "end_byte")
+
+
+def _word_list() -> object:
+    from .functions.dictionary import Words
+
+    return Words("the and that with for this from are was but not you all have been their which would there about".split(), ["paris", "london"])
+
+
+@query(None)
+def dictionary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.dictionary import normalize
+
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize(spark, F.col("text"), _word_list()).alias("text"))
+
+
+@query(None)
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.dictionary import text_quality as quality
+
+    return _table(spark, sf_dir, "documents").select("doc_id", quality(spark, F.col("text"), _word_list()).alias("quality"))
+
+
+@query(None)
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.embedder import HashEmbedder, embed
+
+    return embed(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), HashEmbedder(16))

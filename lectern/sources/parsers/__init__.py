@@ -53,9 +53,9 @@ def nest(sections: list[Section]) -> list[Section]:
 
 
 def parser_for(fmt: str) -> Callable[[bytes], Document]:
-    from . import doc, docx, epub, markdown, rtf
+    from . import doc, docx, epub, markdown, pdf, rtf
 
-    known = {"md": markdown.parse, "txt": markdown.parse, "docx": docx.parse, "epub": epub.parse, "rtf": rtf.parse, "doc": doc.parse}
+    known = {"md": markdown.parse, "txt": markdown.parse, "docx": docx.parse, "epub": epub.parse, "rtf": rtf.parse, "doc": doc.parse, "pdf": pdf.parse, "html": epub.parse_html}
     if fmt not in known:
         raise ValueError(f"no parser for {fmt}")
     return known[fmt]
