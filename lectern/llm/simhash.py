@@ -1,6 +1,6 @@
 """SimHash near-dedup by covering locality-sensitive hashing.
 
-A covering family has 2**(r+1) - 1 tables for the radius r.  Every bit position i gets a
+A covering family has 2**(r+1) - 2 tables for the radius r.  Every bit position i gets a
 non-zero vector phi(i) of r+1 bits; table v reads the positions with <phi(i), v> = 1.  Any
 r positions span at most r of the r+1 dimensions, so some v != 0 is orthogonal to all of
 them: that table reads none of the differing bits and the pair collides in it for certain.
@@ -31,10 +31,17 @@ WHOLE = 50_000  # a bucket above this is split again before any comparison
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The 64-bit masks of the 2**(radius+1) - 1 tables; phi runs through the non-zero vectors in turn."""
-    top = 2 ** (radius + 1)
-    phi = [1 + i % (top - 1) for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if bin(phi[i] & v).count("1") % 2) for v in range(1, top)]
+    """The 64-bit masks of the family's tables, each of 32 bits.
+
+    phi(i) is a one followed by the low ``radius`` bits of i, so the tables' masks are the words of a
+    first-order Reed-Muller code: all weigh 32 but the one of all ones, which no differing
+    position is orthogonal to and which is left out.
+    """
+    if not 1 <= radius <= 6:
+        raise ValueError("the radius is 1 to 6: 64 positions have no balanced family beyond")
+    top = 1 << radius
+    phi = [top | i % top for i in range(BITS)]
+    return [sum(1 << i for i in range(BITS) if bin(phi[i] & v).count("1") % 2) for v in range(1, 2 * top) if v != top]
 
 
 def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42, distinct: bool = False) -> int:
