@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--limit", type=int)
     s.add_argument("--format")
     sub.add_parser("status")
+    sub.add_parser("serve", help="answer JSON-RPC lines on standard input")
     sub.add_parser("list")
     sub.add_parser("remove").add_argument("path")
     sub.add_parser("read").add_argument("chunk", type=int)
@@ -62,6 +63,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "search":
         rows = corpus.search(a.query, a.mode or settings.get("search.mode"), a.limit or int(settings.get("search.limit")), provider, format_filter=a.format)
         print("\n".join(rows.toJSON().collect()))
+    elif a.command == "serve":
+        from .serve import Server
+
+        Server(corpus, provider).run(sys.stdin, sys.stdout)
     elif a.command == "status":
         print(json.dumps(corpus.status()))
     elif a.command == "list":
