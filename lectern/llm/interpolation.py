@@ -8,8 +8,9 @@ deleted from the counts, its tokens are looked up in what is left, and their cou
 estimates use all training documents.
 
 Counting and lookup are one plan over blocks (see ``blocks``): a block asks once for each of
-its distinct words and bigrams.  A word is known by its 64-bit XXH64, a bigram by a mix of
-two such; among a billion distinct keys a single collision has a chance of some 3 per cent.
+its distinct words and bigrams.  A word is known by its 64-bit XXH64, a bigram by 56 bits of a
+mix of two such: of a billion distinct words none or one pair is taken for one, of a billion
+distinct bigrams some seven pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from ..scratch import write_table
 from .blocks import U4, U8, WordHashes, block_count, mix, pack_counts, pack_keys, range_starts, to_blocks, unpack_counts, unpack_keys
 from .common import id_fold, lower_ascii, raw_texts, table
 
+LOW = np.uint64(255)  # a bigram's key leaves these bits out
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)  # no word hashes to these but by chance
 FINE = 20  # bins of an estimate for each factor of ten
 
@@ -54,7 +56,7 @@ class _Block:
         before[1:] = tokens[:-1]
         before[self.starts] = START
         self.ones, self.one_at = np.unique(tokens, return_inverse=True)
-        self.twos, self.two_at = np.unique(mix(mix(before) + tokens), return_inverse=True)
+        self.twos, self.two_at = np.unique(mix(mix(before) + tokens) & ~LOW, return_inverse=True)
 
 
 def _flags(folds: np.ndarray, held: int, deleted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +79,11 @@ def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
         b = _Block(texts)
         train, cut = (np.repeat(f, b.sizes) for f in _flags(fold, held, deleted))
         packed = []
-        for keys, at in ((b.ones, b.one_at), (b.twos, b.two_at)):
+        for keys, at, spare in ((b.ones, b.one_at, 0), (b.twos, b.two_at, 8)):
             starts = range_starts(keys, n)
+            sent = keys >> np.uint64(spare)
             every, some = (np.bincount(at, weights=f, minlength=len(keys)).astype(np.int64) for f in (train, cut))
-            packed.append([[pack_keys(keys[s:e]), pack_counts(every[s:e]), pack_counts(some[s:e])] for s, e in zip(starts[:-1], starts[1:])])
+            packed.append([[pack_keys(sent[s:e]), pack_counts(every[s:e]), pack_counts(some[s:e])] for s, e in zip(starts[:-1], starts[1:])])
         block = t.column("block")[0].as_py()
         out = [(k, block, *one, *two) for k, (one, two) in enumerate(zip(*packed)) if one[0] or two[0]]
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
@@ -140,7 +143,9 @@ def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
         bins, times = np.unique(cells, axis=0, return_counts=True)
         hist = np.column_stack([bins, times]).astype("<i8").tobytes()
         m = len(ids)
-        data = [ids, (~train).tolist(), train.tolist(), b.sizes.tolist(), known.tolist(), logs.tolist(), [c1[s:e].astype(U4 if c1.max() < 2**32 else U8).tobytes() for s, e in zip(b.starts, b.ends)], [c2[s:e].astype(U4 if c1.max() < 2**32 else U8).tobytes() for s, e in zip(b.starts, b.ends)], [int(sum(told.column("distinct").to_pylist()))] + [0] * (m - 1), [hist] + [None] * (m - 1)]
+        kind = U4 if c1.max() < 2**32 else U8
+        w1, w2 = c1.astype(kind), c2.astype(kind)
+        data = [ids, (~train).tolist(), train.tolist(), b.sizes.tolist(), known.tolist(), logs.tolist(), [w1[s:e].tobytes() for s, e in zip(b.starts, b.ends)], [w2[s:e].tobytes() for s, e in zip(b.starts, b.ends)], [int(sum(told.column("distinct").to_pylist()))] + [0] * (m - 1), [hist] + [None] * (m - 1)]
         return pa.table([pa.array(c, k) for c, k in zip(data, kinds)], names=names)
 
     asked = rows.groupBy("block").applyInArrow(ask, _ASK)
