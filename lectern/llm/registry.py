@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_writer": warc.OP3_SQL, "op6_license_scan": license_scan.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op3_warc_writer": warc.OP3_SQL, "op6_license_scan": license_scan.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_substring_dedup": substring.OP10_SQL}

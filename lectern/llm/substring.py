@@ -98,11 +98,20 @@ def first_places(stretches: Iterable[tuple[int, int, list[int]]], window: int) -
         state = size = 0
         out: list[tuple[int, int]] = []
         done = -1  # words of this stretch before it are in the automaton's last run
+        nxt, link, length = a.next, a.link, a.length
         for i, w in enumerate(words):
-            state, size = a.step(state, size, w, window)
+            while state and w not in nxt[state]:  # as Automaton.step
+                state = link[state]
+                size = length[state]
+            state = nxt[state].get(w, 0)
+            size = size + 1 if state else 0
             at = i - window + 1
             if at < 0:
                 continue
+            if size >= window:
+                size = window
+                while length[link[state]] >= window:
+                    state = link[state]
             if size == window:
                 out.append(ids[a.first[state] - window + 1])
                 continue
@@ -186,7 +195,7 @@ def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]],
     shorter than a window repeat nothing; a null id counts as larger than all others; rows
     that share an id are not earlier than each other; an empty table gives an empty result.
     """
-    n = block_count(docs)
+    n = block_count(docs, text_col)
     rows = to_blocks(docs, n, id_col, text_col, rest)
 
     def ask(t: pa.Table) -> pa.Table:
@@ -250,24 +259,30 @@ def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]],
     def compare(t: pa.Table) -> pa.Table:
         """One shard: the first place of each window of each stretch, as runs of (windows, id, start)."""
         cols = [t.column(c).to_numpy() for c in ("key", "id", "start", "block", "number")]
-        words = t.column("words")
+        words = t.column("words").to_pylist()
         order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
         out_block, out_number, out_places = [], [], []
         group: list[int] = []
 
         def flush() -> None:
             group.sort(key=lambda i: (cols[1][i], cols[2][i]))
-            feed = ((int(cols[1][i]), int(cols[2][i]), np.frombuffer(words[i].as_py(), U4).tolist()) for i in group)
-            for i, places in zip(group, first_places(feed, window)):
+            first: dict[bytes, int] = {}  # the same stretch from several blocks is streamed once
+            for i in group:
+                first.setdefault(words[i], i)
+            feed = ((int(cols[1][i]), int(cols[2][i]), np.frombuffer(w, U4).tolist()) for w, i in first.items())
+            answers: dict[bytes, bytes] = {}
+            for w, places in zip(first, first_places(feed, window)):
                 runs = []
                 for doc, at in places:
                     if runs and runs[-1][1] == doc and runs[-1][2] + runs[-1][0] == at:
                         runs[-1][0] += 1
                     else:
                         runs.append([1, doc, at])
+                answers[w] = np.array(runs, "<i8").tobytes()
+            for i in group:
                 out_block.append(int(cols[3][i]))
                 out_number.append(int(cols[4][i]))
-                out_places.append(np.array(runs, "<i8").tobytes())
+                out_places.append(answers[words[i]])
             group.clear()
 
         size, last = 0, None
@@ -276,7 +291,7 @@ def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]],
                 flush()
                 size = 0
             group.append(i)
-            size += len(words[i].as_py()) // 4
+            size += len(words[i]) // 4
             last = cols[0][i]
         if group:
             flush()
@@ -406,3 +421,18 @@ def against_reference(docs: DataFrame, reference: DataFrame, window: int = 20, m
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return self_repeats(table(spark, sf_dir, "documents"), _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 18))) AS t(p)),
+r AS (SELECT doc_id, p, CAST(row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS INTEGER) AS dup FROM win),
+m AS (
+  SELECT u.doc_id, u.p, u.word, max(coalesce(r.dup, 0)) OVER (PARTITION BY u.doc_id ORDER BY u.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.p = r.p
+),
+x AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(x.n_removed, 0) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""

@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -43,6 +44,15 @@ def test_substring(docs, empty):
     assert substring.self_repeats(empty, substring._digests, SCHEMA).count() == 0
 
 
+def test_substring_sql(docs, tmp_path):
+    one = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    one.write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    got = [tuple(r) for r in substring.self_repeats(one, substring._digests, SCHEMA).collect()]
+    assert sorted(c.sql(substring.OP10_SQL).fetchall()) == sorted(got)
+
+
 def test_substring_periodic_and_hot(spark):
     line = prose(50, 25)
     data = [(i, (prose(i, 30) + " " if i % 3 else "") + PASSAGE + (" " + line) * (i % 4) + " " + prose(1000 + i % 5, 40)) for i in range(150)]
