@@ -21,7 +21,9 @@ on where chunks end, the sum does not.  Characters without a piece are spelt as
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,15 +33,39 @@ from pyspark.sql import functions as F
 
 from ..scratch import write_table
 from .common import partitions, table
-from .vocab import CACHE, LONGEST, vocabulary_path
+from .vocab import LONGEST, vocabulary_path
 
 NEVER = -(1 << 61)
 CHUNK = 16_384  # characters; more than the longest piece
+SEGMENTS = 800_000  # cached by a worker, some 200 MB
 GROUP = 64  # chunks multiplied by one task
 _CUT = re.compile(r"(?<=[^ ])(?= )")
 _loaded: dict[str, "Lattice"] = {}
 
 
+def _ids(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Segments(dict):
+    """Segment -> ids; bounded, as the caches of ``vocab`` are."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.encode(segment)
+        if len(segment) <= LONGEST:
+            if len(self) >= SEGMENTS:
+                self.clear()
+            self[segment] = ids
+        return ids
+
+
 class Lattice:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -62,21 +88,23 @@ class Lattice:
                 self.text[i] = s.encode()
         self.spelt = round(least - 10) * (1 << 32)
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {s[:n] for s in self.pieces for n in range(1, len(s) + 1)}
+        #: each beginning of a piece; with its id and score if it is a piece itself
+        self.trie = {s[:n]: self.pieces.get(s[:n]) for s in self.pieces for n in range(1, len(s) + 1)}
         self.bigrams = {s[k : k + 2] for s in self.pieces for k in range(len(s) - 1)}
         self.cut_at_spaces = not any(b[1] == " " and b[0] != " " for b in self.bigrams)
-        self.cache: dict[str, bytes] = {}
+        self.first = _Segments(self.best)
+        self.later = _Segments(lambda p: self.best(" " + p))
 
     def steps(self, s: str, i: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(next place, id or -1 for bytes, score) of each piece at place i."""
-        known, prefixes, spelt = self.pieces, self.prefixes, True
+        trie, spelt = self.trie, True
         for j in range(i + 1, min(end, i + self.longest) + 1):
             part = s[i:j]
-            if part not in prefixes:
+            if part not in trie:
                 break
-            if part in known:
+            if (hit := trie[part]) is not None:
                 spelt &= j > i + 1
-                yield j, *known[part]
+                yield j, *hit
         if spelt:
             yield i + 1, -1, self.spelt
 
@@ -97,7 +125,39 @@ class Lattice:
             i, piece = back[end]
             out += [piece] if piece >= 0 else [self.byte_ids[c] for c in reversed(s[i].encode("utf-8", "replace"))]
             end = i
-        return np.array(out[::-1], dtype="<u2").tobytes()
+        return _ids(out[::-1])
+
+    def best(self, s: str) -> bytes:
+        """Ids of a whole segment: :meth:`forward` and :meth:`trace` in one, for the many short ones."""
+        n, get, longest = len(s), self.trie.get, self.longest
+        top, back = [NEVER] * (n + 1), [(0, 0)] * (n + 1)
+        top[0] = 0
+        for i in range(n):
+            at = top[i]
+            if at == NEVER:
+                continue
+            single = False
+            for j in range(i + 1, min(n, i + longest) + 1):
+                hit = get(s[i:j], 0)
+                if hit is None:
+                    continue
+                if hit == 0:
+                    break
+                single |= j == i + 1
+                x = at + hit[1]
+                if x > top[j]:
+                    top[j], back[j] = x, (i, hit[0])
+            if not single and at + self.spelt > top[i + 1]:
+                top[i + 1], back[i + 1] = at + self.spelt, (i, -1)
+        out: list[int] = []
+        while n:
+            i, piece = back[n]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.byte_ids[c] for c in reversed(s[i].encode("utf-8", "replace"))]
+            n = i
+        return _ids(out[::-1])
 
     def path(self, s: str, begin: int, stop: int, end: int) -> bytes:
         return self.trace(s, self.forward(s, begin, stop, end)[1], begin, end) if end > begin else b""
@@ -109,21 +169,10 @@ class Lattice:
         if not self.cut_at_spaces:
             return self.path(s, 0, len(s), len(s))
         if s[0] == " " and "  " not in s and s[-1] != " ":
-            parts = s[1:].split(" ")
-            sp = " "
-        else:
-            parts, sp = _CUT.split(s), ""
-        cache, out = self.cache, []
-        for p in parts:
-            ids = cache.get(k := sp + p)
-            if ids is None:
-                ids = self.path(k, 0, len(k), len(k))
-                if len(k) <= LONGEST:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[k] = ids
-            out.append(ids)
-        return b"".join(out)
+            later = self.later
+            return b"".join([later[p] for p in s[1:].split(" ")])
+        first = self.first
+        return b"".join([first[p] for p in _CUT.split(s)])
 
     def cuts(self, s: str, n: int) -> tuple[int, int] | None:
         """The first and the last place from 1 to n that every path passes."""
@@ -172,7 +221,7 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the pieces joined, less the leading space."""
-        return b"".join([self.text[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+        return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
 def lattice(vocabulary: str) -> Lattice:
