@@ -44,6 +44,18 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if bin(phi[i] & v).count("1") % 2) for v in range(1, 2 * top) if v != top]
 
 
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> bytes:
+    """Eight bytes for each shingle of ``width`` words, or for all words if they are fewer."""
+    text = b" ".join(words)
+    digest = xxhash.xxh64_digest
+    if len(words) <= width:
+        return digest(text, seed)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = len(words) - width + 1
+    return b"".join([digest(text[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())])
+
+
 def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42, distinct: bool = False) -> int:
     """Majority of the bits of all shingle hashes; zero where there is no word.
 
@@ -53,15 +65,7 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42, distinct: boo
         words = list(dict.fromkeys(words))
     if not words:
         return 0
-    text = b" ".join(words)
-    digest = xxhash.xxh64_digest
-    if len(words) <= width:
-        hashes = digest(text, seed)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        n = len(words) - width + 1
-        hashes = b"".join([digest(text[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())])
+    hashes = shingle_hashes(words, width, seed)
     rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     total, count = np.zeros(BITS, dtype=np.int64), len(rows)
     for at in range(0, count, 8192):
@@ -199,7 +203,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids are taken as unique; rows that share the naming id all stay, as do rows with a null id
     in a component without any id.  ``how`` goes to :func:`near_duplicates`.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    return keep_named(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is its own component in ``found`` (doc_id, component_id)."""
     none = F.lit(-(2**63)).cast("long")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("id")).distinct()
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), none).alias("id"))
