@@ -30,18 +30,35 @@ _NOT_A_WORD_CHAR = _SPACES + bytes(range(0x80, 0xC0))  # white space and UTF-8 c
 
 @dataclass(frozen=True)
 class Band:
-    """Characters per token at least and at most, byte-fallback share at most, bits of entropy at least."""
+    """Characters per token at least and at most, byte-fallback share at most, bits of entropy at least.
+
+    Entropy grows with length: from ``FEW`` tokens on it is also at least ``usual`` bits at 256 tokens
+    and ``doubling`` more for each doubling up to 4096 tokens."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
-
-
-#: By language.  Natural prose in these takes some 3 to 4.5 characters a token in a 32k vocabulary and has
-#: 7 to 9 bits of entropy (5 in a text of 50 words); the bands leave wide margins on both sides.
-LANGUAGES = {"en": Band(2.0, 8.0, 0.10, 4.0), "fr": Band(1.8, 8.0, 0.10, 4.0), "de": Band(1.8, 8.0, 0.10, 4.0), "es": Band(1.8, 8.0, 0.10, 4.0)}
-#: By script, for any other language.  Scripts outside the vocabulary are spelt as bytes, three a
+    usual: float = 0.0
+    doubling: float = 0.0
+
+    def entropy_floor(self, n: int) -> float:
+        return self.least_entropy if n < FEW else max(self.least_entropy, self.usual + self.doubling * (min(np.log2(n), 12) - 8))
+
+
+#: Tokens below which no labelled text says what entropy is usual.
+FEW = 100
+#: By language.  Least characters and usual entropy are the 0.5th percentiles of the texts labelled good in
+#: the training folds (id_fold 1 to 4 of 5) of the sf0.1 tables, rounded down; ``doubling`` is the slope of
+#: their entropy over log2 of their tokens.  No labelled junk lies above the good texts or is spelt as
+#: bytes, so the other two stay wide.
+LANGUAGES = {
+    "en": Band(2.40, 8.0, 0.10, 4.0, 6.00, 0.21),
+    "fr": Band(2.08, 8.0, 0.10, 4.0, 5.86, 0.16),
+    "de": Band(2.44, 8.0, 0.10, 4.0, 5.93, 0.17),
+    "es": Band(2.13, 8.0, 0.10, 4.0, 5.90, 0.18),
+}
+#: By script, for any other language; no labels, so wide.  Scripts outside the vocabulary are spelt as bytes, three a
 #: character, so they allow many.
 SCRIPTS = {
     "latin": Band(1.3, 9.0, 0.25, 4.0),
@@ -108,7 +125,7 @@ def verdict(band: Band, n: int, chars: float, spelt: float, entropy: float) -> s
         return "chars_per_token"
     if spelt > band.most_bytes:
         return "byte_fallback"
-    return "entropy" if entropy < band.least_entropy else ""
+    return "entropy" if entropy < band.entropy_floor(n) else ""
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = "piece_bpe_32k.model", languages: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 
 from lectern.llm import compression, license_scan, maxplus, quality_rules
+from lectern.llm.common import id_fold
 from lectern.llm.vocab import vocabulary_path
 from tests.llm.conftest import prose, rows
 
@@ -58,6 +59,17 @@ def test_bands():
     assert quality_rules.verdict(b, 9, 3.0, 0.0, 5) == ""
 
 
+def test_bands_reject_labelled_junk(spark):
+    """On the fold that no band was set on."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet").filter(id_fold("doc_id", 5) == 0).select("doc_id", "quality")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels, "doc_id")
+    got = [(q, r["kept"]) for r, q in ((r, r["quality"]) for r in quality_rules.measure(docs).join(labels, "doc_id").collect()) if not r["base_failed"]]
+    good, bad = ([k for q, k in got if q == x] for x in (1, 0))
+    assert len(good) > 500 and len(bad) > 50
+    assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.97 * len(good)
+
+
 @pytest.mark.parametrize("text,script", [("plain words", "latin"), ("Ελλάδα και", "greek"), ("русский текст", "cyrillic"), ("日本語の文", "cjk"), ("한국어 문장", "hangul"), ("", "other"), ("123", "other")])
 def test_scripts(text, script):
     assert quality_rules.script_of(text.encode()) == script
