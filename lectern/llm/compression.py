@@ -65,8 +65,11 @@ def _dictionary(texts: list[bytes], size: int, piece: int) -> bytes | None:
         return None
 
 
-def fit(texts: list[tuple[bytes, int]], size: int = 112_640, piece: int = 1024, level: int = 3) -> Model:
-    """Odd places build the dictionaries, even places fit the curve (all do both if there are few)."""
+def fit(texts: list[tuple[bytes, int]], size: int = 112_640, piece: int = 1024, level: int = 3, totals: dict[int, int] | None = None) -> Model:
+    """Odd places build the dictionaries, even places fit the curve (all do both if there are few).
+
+    ``totals`` has the number of texts of each label that the sample stands for: the curve's texts
+    are weighted to those shares, so that a sample with another balance gives the same probabilities."""
     build, curve = (texts[::2], texts[1::2]) if len(texts) >= 40 else (texts, texts)
     of = {q: [t for t, x in build if x == q] for q in (1, 0)}
     made = {q: _dictionary(of[q], size, piece) for q in of}
@@ -77,19 +80,34 @@ def fit(texts: list[tuple[bytes, int]], size: int = 112_640, piece: int = 1024,
     compressors = model.compressors()
     x = np.array([[1.0, SCALE * difference(t, compressors, piece)] for t, _ in curve]).reshape(-1, 2)
     y = np.array([q for _, q in curve], dtype=float)
+    weight = np.ones(len(y))
+    if totals:
+        share = {q: totals.get(q, 0) / max(1, int((y == q).sum())) for q in (0, 1)}
+        weight = np.array([share[int(q)] for q in y])
+        weight *= len(y) / max(weight.sum(), 1e-300)
     w = np.zeros(2)
     for _ in range(50):  # Newton's method with a little ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + 1e-2 * w
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), slope)
+        slope = x.T @ (weight * (p - y)) + 1e-2 * w
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), slope)
     return Model(made[1], made[0], raw, piece, level, (float(w[0]), float(w[1])))
 
 
+def _known(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    return labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_fold("doc_id", folds) != held))
+
+
+def totals(labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0) -> dict[int, int]:
+    """The number of training labels of each kind, of which :func:`sample` takes some."""
+    return {int(r["q"]): r["n"] for r in _known(labels, label, folds, held).groupBy(F.col(label).cast("int").alias("q")).agg(F.count("*").alias("n")).collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample_docs: int = 3000, sample_bytes: int = 12 << 20) -> list[tuple[bytes, int]]:
-    """At most ``sample_docs`` texts and about ``sample_bytes`` bytes of each label, in the order of a hash of the id."""
+    """At most ``sample_docs`` texts and about ``sample_bytes`` bytes of each label, in the order of a hash of the id.
+
+    A label ends at the first text that passes its bytes, so long texts are not passed over for short ones."""
     spark = docs.sparkSession
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_fold("doc_id", folds) != held))
-    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("q"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)).alias("h"))
+    known = _known(labels, label, folds, held).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("q"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)).alias("h"))
     rows = [r for q in (0, 1) for r in known.filter(F.col("q") == q).orderBy("h", "id").limit(sample_docs).collect()]
     if not rows:
         return []
@@ -99,9 +117,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
     sized = texts.select("h", "id", "q", F.octet_length("text").alias("n"))
     ids = set()
     for r in sorted(sized.collect()):
-        if held_bytes[r["q"]] + r["n"] <= sample_bytes:
-            held_bytes[r["q"]] += r["n"]
+        if held_bytes[r["q"]] == 0 or held_bytes[r["q"]] + r["n"] <= sample_bytes:
             ids.add((r["id"], r["q"]))
+            held_bytes[r["q"]] += r["n"]
+        else:
+            held_bytes[r["q"]] = sample_bytes + 1
     chosen = texts.join(F.broadcast(spark.createDataFrame(sorted(ids), "id long, q int")), ["id", "q"], "left_semi") if ids else texts.limit(0)
     for r in sorted(chosen.select("h", "id", "q", "text").collect()):
         out.append((r["text"].encode(), r["q"]))
@@ -129,6 +149,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(sample(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    model = fit(sample(docs, labels), totals=totals(labels))
     out = score(docs, model)
     return out.select("doc_id", (id_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

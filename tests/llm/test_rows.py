@@ -1,5 +1,7 @@
 """Operators that read one row at a time, against plain versions."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -114,6 +116,30 @@ def test_compression(spark, docs, empty):
     assert compression.score(docs, model).count() == len(rows()) and compression.score(empty, model).count() == 0
 
 
+def test_compression_keeps_the_shares(spark):
+    """A sample of equal classes gives the probabilities of the labels' true shares."""
+    r = random.Random(6)
+    text = lambda i, bad: " ".join(w.upper() if r.random() < (0.4 if bad else 0.3) else w for w in prose(i, 80).split()).encode()
+    good, bad = [(text(i, False), 1) for i in range(400)], [(text(1000 + i, True), 0) for i in range(100)]
+    full, even = good + bad, good[:100] + bad
+    for x in (full, even):
+        random.Random(7).shuffle(x)
+    logit = lambda m: m.weights[0]
+    plain, weighted = compression.fit(even), compression.fit(even, totals={1: 400, 0: 100})
+    assert weighted.good == plain.good and abs(logit(weighted) - logit(plain) - math.log(4)) < 0.7
+    labels = spark.createDataFrame([(i, int(q)) for i, (_, q) in enumerate(full)], "doc_id long, quality int")
+    counted = compression.totals(labels)
+    assert 250 < counted[1] < 400 and 60 < counted[0] < 100
+
+
+def test_compression_sample_stops_in_hash_order(spark):
+    docs = spark.createDataFrame([(i, "x" * (900 if i % 2 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    every = [len(t) for t, _ in compression.sample(docs, labels)]
+    some = [len(t) for t, _ in compression.sample(docs, labels, sample_bytes=4000)]
+    assert some == every[: len(some)] and len(some) < len(every) and sum(some) + every[len(some)] > 4000
+
+
 def test_compression_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = compression.fit(compression.sample(docs, none))
