@@ -245,7 +245,7 @@ SELECT DISTINCT conv_id AS document_id FROM s JOIN b ON f < (b.b + 1) * 16 AND b
 def failed_batch_deferral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a chunk in one of the batches 1, 6, 11, ... of sixteen."""
     chunks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"))
-    failed = spark.range(0, 625).select(F.col("id").alias("batch")).filter("batch % 5 = 1")
+    failed = spark.range(0, -(-chunks.count() // 16)).select(F.col("id").alias("batch")).filter("batch % 5 = 1")
     return updates.deferred_documents(chunks, failed, 16)
 
 

@@ -212,3 +212,12 @@ def test_page_labels(spark):
     ranges = spark.createDataFrame([(1, "r", 1), (5, "D", 1)], "start int, style string, first int")
     got = aggregates.as_of(pages, ranges, "page", "start", ["style", "first"]).orderBy("page").collect()
     assert [r["page"] - r["start"] + r["first"] for r in got] == [1, 4, 1, 3] and [r["style"] for r in got] == ["r", "r", "D", "D"]
+
+
+def test_failed_batches_have_no_end(spark, tmp_path):
+    """A turn for each document: those past the 10,000th are deferred like the others."""
+    from lectern.queries import failed_batch_deferral
+
+    spark.range(10_105).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "'t' AS text").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(r["document_id"] for r in failed_batch_deferral(spark, str(tmp_path)).collect())
+    assert got == [i for i in range(10_105) if i // 16 % 5 == 1]
