@@ -5,7 +5,9 @@ normalised (A-Z lowered, runs of anything but letters and digits to one space) a
 up among known licence sentences.  The identifiers found, in order of appearance, are
 matched against ordered rules: a rule names identifiers that must come in that order, with
 others between them allowed.  Sentences wrapped over several lines are found by a second
-reading in which line ends count as spaces; a rule holds if either reading meets it.
+reading in which line ends count as spaces, and by a third that has both in the order of the
+text: a sentence of it ends at a stop or a blank line and gives the identifiers of its lines
+and then its own.  A rule holds if any reading meets it.
 
 One scan, no exchange, no Python; the sentence table is a literal of the plan.
 """
@@ -70,6 +72,10 @@ RULES: list[tuple[str, str, list[int]]] = [
 ]
 
 
+#: Every known sentence has one of these words, and no line end can split one: a text with none has no identifier.
+ANCHORS = r"license|permission|software|copyright|warranty|redistribution|\bmpl\b"
+
+
 def cut_sentences(text: str) -> list[str]:
     """The normalised sentences of a text, as the plan cuts them."""
     cut = re.sub(r"[.!?;:]+[ \t\r\n]+", "\n", text.translate(str.maketrans(UPPER, LOWER)))
@@ -95,6 +101,17 @@ def _found(text: Column, known: dict[str, int]) -> Column:
     return F.filter(ids, lambda i: i.isNotNull())
 
 
+def _found_in_order(text: Column, known: dict[str, int]) -> Column:
+    """Identifiers of single lines and of whole sentences, by place; blank lines end sentences."""
+    cut = F.regexp_replace(F.translate(text, "\x01", " "), "[.!?;:]+[ \t\r\n]+", "\x01")
+    plain = F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9\n\x01]+", " "), "\n *(?:\n *)+", "\x01")
+    lookup = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    one = lambda s: F.element_at(lookup, F.trim(s))
+    whole = lambda s: F.when(F.instr(s, "\n") > 0, one(F.regexp_replace(s, " *\n *", " ")))
+    ids = F.flatten(F.transform(F.split(plain, "\x01"), lambda s: F.concat(F.transform(F.split(s, "\n"), one), F.array(whole(s)))))
+    return F.filter(ids, lambda i: i.isNotNull())
+
+
 def _meets(ids: Column, rule: list[int]) -> Column:
     return ids.rlike("," + "".join(f"{i}," + ("(?:[0-9]+,)*" if k < len(rule) - 1 else "") for k, i in enumerate(rule)))
 
@@ -111,11 +128,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     joined = lambda ids: F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    rows = rows.select("doc_id", joined(_found(F.col("t"), known)).alias("lines"), joined(_found(F.regexp_replace("t", "[ \t\r\n]+", " "), known)).alias("wrapped"))
-    hit = [(lic, kind, _meets(F.col("lines"), r) | _meets(F.col("wrapped"), r)) for lic, kind, r in RULES]
-    some = (F.col("lines") != ",,") | (F.col("wrapped") != ",,")
+    some = lambda ids: F.when(F.col("t").rlike(ANCHORS), joined(ids)).otherwise(",,")
+    rows = rows.select("doc_id", some(_found(F.col("t"), known)).alias("lines"), some(_found(F.regexp_replace("t", "[ \t\r\n]+", " "), known)).alias("wrapped"), some(_found_in_order(F.col("t"), known)).alias("both"))
+    hit = [(lic, kind, _meets(F.col("lines"), r) | _meets(F.col("wrapped"), r) | _meets(F.col("both"), r)) for lic, kind, r in RULES]
+    any_ = (F.col("lines") != ",,") | (F.col("wrapped") != ",,") | (F.col("both") != ",,")
     evidence = F.filter(F.array(*(F.when(m, F.lit(f"{lic}:{kind}")) for lic, kind, m in hit)), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.trim(F.col("lines"), F.lit(",")).alias("sentence_ids"), F.when(some, evidence).otherwise(F.array().cast("array<string>")).alias("e"))
+    rows = rows.select("doc_id", F.trim(F.col("lines"), F.lit(",")).alias("sentence_ids"), F.when(any_, evidence).otherwise(F.array().cast("array<string>")).alias("e"))
     names = F.array_distinct(F.transform("e", lambda x: F.substring_index(x, ":", 1)))
     return rows.select("doc_id", "sentence_ids", F.array_join(names, ",").alias("licenses"), F.array_join("e", ",").alias("evidence"), F.size(names).cast("long").alias("n_licenses"))
 

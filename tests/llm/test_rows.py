@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -92,6 +93,25 @@ def test_license_order(spark):
     assert out == {1: "MIT", 2: "", 3: "MIT", 4: "MIT"}
 
 
+def test_license_anchors():
+    assert all(re.search(license_scan.ANCHORS, s) for s in license_scan.sentence_ids())
+
+
+def test_license_wrapped(spark):
+    """Standard texts as they are wrapped: titles and addresses apart, sentences over several lines."""
+    fill = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    s = {k: v[0] for k, v in license_scan.SENTENCES.items()}
+    mit = "\n\n".join(["Copyright (c) 2020 X", *(fill(s[k]) for k in (2, 3, 4))])
+    lines = ["Copyright 2020 X", "", *fill('Licensed under the Apache License, Version 2.0 (the "License"); ' + s[11]).split("\n"), s[12], "", "    http://www.apache.org/licenses/LICENSE-2.0", "", *fill(f"{s[13]} {s[14]}").split("\n")]
+    gpl = "Copyright (C) 2020 X\n\n" + fill(s[21]) + "\n\n" + fill(f"{s[23]} {s[24]}")
+    bsd = "Copyright (c) 2020, X\n\n" + "\n\n".join([fill(s[30]), *(f"{n}. {fill(s[k])}" for n, k in enumerate((31, 32, 33), 1))])
+    texts = [mit, "\n".join(lines), "\n".join("# " + x for x in lines), "\r\n".join(lines), gpl, bsd]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = {r["doc_id"]: r["evidence"].split(",") for r in license_scan.scan(df, id_col="id").collect()}
+    for i, rule in enumerate(["MIT:text", *["Apache-2.0:header"] * 3, "GPL-3.0-or-later:header", "BSD-3-Clause:text"]):
+        assert rule in out[i], (i, out[i])
+
+
 def test_license_sql(docs, tmp_path):
     one = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     one.write.parquet(str(tmp_path / "d"))
