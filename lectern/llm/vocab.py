@@ -2,8 +2,8 @@
 
 Both tokenizers used here cut before a single space that has no white space on one of its
 sides, so a text's ids are those of the pieces between such spaces, one after another, and
-a piece needs to be encoded once.  The caches hold at most ``CACHE`` pieces
-of at most ``LONGEST`` characters and start anew when full.
+a piece needs to be encoded once.  A cache holds at most twice ``CACHE`` pieces of at most ``LONGEST``
+characters: when it is full what was not used since it was last full goes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 60_000
 LONGEST = 64
 _GAP = re.compile(r"(?<=\S) (?=[^ ])|(?<=[^ ]) (?=\S)")
 _ODD = re.compile(r" [^\S ]")
@@ -37,11 +37,15 @@ class _Cache(dict):
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= CACHE:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
