@@ -8,7 +8,7 @@ deleted from the counts, its tokens are looked up in what is left, and their cou
 estimates use all training documents.
 
 Counting and lookup are one plan over blocks (see ``blocks``): a block asks once for each of
-its distinct words and bigrams.  A word is known by its 64-bit XXH64, a bigram by 56 bits of a
+its distinct words and bigrams.  A word is known by a 64-bit hash, a bigram by 56 bits of a
 mix of two such: of a billion distinct words none or one pair is taken for one, of a billion
 distinct bigrams some seven pairs.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .blocks import U4, U8, WordHashes, block_count, mix, pack_counts, pack_keys, range_starts, to_blocks, unpack_counts, unpack_keys
-from .common import id_fold, lower_ascii, raw_texts, table
+from .blocks import U4, U8, Words, block_count, mix, pack_counts, pack_keys, range_starts, to_blocks, unpack_counts, unpack_keys
+from .common import id_fold, lower_ascii, raw_texts, released, table
 
 LOW = np.uint64(255)  # a bigram's key leaves these bits out
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)  # no word hashes to these but by chance
@@ -39,19 +39,13 @@ class _Block:
     """Tokens of a block's texts, its distinct words and bigrams, and each token's place among them."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        seen = WordHashes()
-        lists = [lower_ascii(t).split() for t in texts]
-        self.sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
-        total = int(self.sizes.sum())
-        tokens = np.empty(total, U8)
-        at = 0
-        for words in lists:
-            n = len(words)
-            tokens[at : at + n] = np.fromiter(map(seen.__getitem__, words), dtype=U8, count=n)
-            tokens[at + n] = END
-            at += n + 1
+        words = Words([lower_ascii(t) for t in texts])
+        self.sizes = words.finals - words.begins + 1
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
+        total = int(self.sizes.sum())
+        tokens = np.full(total, END)
+        tokens[np.arange(len(words.hashes)) + np.repeat(np.arange(len(texts)), self.sizes - 1)] = words.hashes
         before = np.empty(total, U8)
         before[1:] = tokens[:-1]
         before[self.starts] = START
@@ -87,7 +81,7 @@ def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
         block = t.column("block")[0].as_py()
         out = [(k, block, *one, *two) for k, (one, two) in enumerate(zip(*packed)) if one[0] or two[0]]
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "block", "one", "one_all", "one_cut", "two", "two_all", "two_cut"])
+        return released(pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "block", "one", "one_all", "one_cut", "two", "two_all", "two_cut"]))
 
     def answer(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_pylist() for c in t.column_names}
@@ -109,7 +103,7 @@ def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
                 owner = np.searchsorted(ends, first[sums[0] > 0], side="right")
                 owned = np.bincount(owner, minlength=len(order)).tolist()
         data = [pa.array([cols["block"][i] for i in order], pa.int32()), pa.array([cols["bucket"][i] for i in order], pa.int32()), *(pa.array(done[k], pa.binary()) for k in ("one_all", "one_cut", "two_all", "two_cut")), pa.array(owned, pa.int64())]
-        return pa.table(data, names=["block", "bucket", "one_all", "one_cut", "two_all", "two_cut", "distinct"])
+        return released(pa.table(data, names=["block", "bucket", "one_all", "one_cut", "two_all", "two_cut", "distinct"]))
 
     def look(t: pa.Table, told: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "train", "n_tokens", "n_known", "base_sum", "c1", "c2", "distinct", "hist"]
@@ -146,7 +140,7 @@ def lookups(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
         kind = U4 if c1.max() < 2**32 else U8
         w1, w2 = c1.astype(kind), c2.astype(kind)
         data = [ids, (~train).tolist(), train.tolist(), b.sizes.tolist(), known.tolist(), logs.tolist(), [w1[s:e].tobytes() for s, e in zip(b.starts, b.ends)], [w2[s:e].tobytes() for s, e in zip(b.starts, b.ends)], [int(sum(told.column("distinct").to_pylist()))] + [0] * (m - 1), [hist] + [None] * (m - 1)]
-        return pa.table([pa.array(c, k) for c, k in zip(data, kinds)], names=names)
+        return released(pa.table([pa.array(c, k) for c, k in zip(data, kinds)], names=names))
 
     asked = rows.groupBy("block").applyInArrow(ask, _ASK)
     told = asked.groupBy("bucket").applyInArrow(answer, _TOLD)

@@ -10,11 +10,16 @@ are broadcast and documents stream past them.  A corpus compared with itself
 (:func:`self_repeats`) has no bound to broadcast by, and every document against every shard would
 be quadratic.  There, each window goes by its minimizer, the least hash among its runs of
 ``PROBE`` words, to the one shard that can hold its equals: equal windows have equal
-minimizers.  Only minimizers found at least twice in the corpus travel, and equal
-stretches of one block travel once, with the first place they occur at.  A shard adds the
-stretches to its automaton in the order of their places, so that the state of a window
-names its first occurrence.  Automata start anew between minimizers once they are large, so
-memory is bounded whatever the data.
+minimizers.  Only windows whose minimizer is found at least twice in the corpus travel, in
+pieces of text that share one, and equal pieces of one block travel once, with the first place
+they occur at.  A shard builds an automaton for each minimizer, adding its pieces in the order of
+their places, so that the state of a window names its first occurrence; a piece that meets
+no other text has nothing to be streamed against.  The windows of a minimizer found more than
+``HOT`` times are dealt one by one, by the hash of all their words: no automaton grows beyond some
+``HOT`` pieces, and a passage that a third of all rows hold is one row for each block.
+
+Words are compared as such where pieces meet.  Two windows of different words could only be
+taken for one if 64-bit hashes of words agreed within one block of 8 MB: some 1e-9 for a block.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U4, U8, WordHashes, block_count, mix, pack_keys, range_starts, to_blocks, unpack_keys
-from .common import raw_texts, table
+from .blocks import U8, Words, block_count, mix, pack_keys, power_of_two, range_starts, to_blocks, unpack_keys
+from .common import partitions, raw_texts, released, table
 
+BLOCK_BYTES = 8 << 20
 PROBE = 6  # words of a minimizer
-STATES = 60_000  # an automaton this large starts anew at the next minimizer
+HOT = 1024  # occurrences above which a minimizer's windows are dealt one by one
 NONE = 2**63 - 1  # stands for a null id: behind all others
 
 
@@ -132,49 +138,72 @@ def first_places(stretches: Iterable[tuple[int, int, list[int]]], window: int) -
         yield out
 
 
-class _Block:
+class _Block(Words):
     """Runs of windows with one minimizer, over all texts of a block."""
 
     def __init__(self, texts: list[bytes], window: int) -> None:
-        seen = WordHashes()
-        self.words = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        total = int(sizes.sum())
-        self.tokens = np.empty(total, U8)
-        for words, at in zip(self.words, self.begins.tolist()):
-            self.tokens[at : at + len(words)] = np.fromiter(map(seen.__getitem__, words), dtype=U8, count=len(words))
+        super().__init__(texts)
+        self.window = window
+        total = len(self.hashes)
         m = total - window + 1
         if m <= 0:
-            self.run_key = np.empty(0, U8)
-            self.run_doc = self.run_at = self.run_n = self.run_hits = np.empty(0, np.int64)
+            self.run_key, self.run_doc, self.run_at, self.run_n, self.run_hits = np.empty(0, U8), *[np.empty(0, np.int64)] * 4
             return
         h = np.zeros(total - PROBE + 1, U8)
         for k in range(PROBE):
-            h = mix(h + self.tokens[k : k + len(h)])
+            h = mix(h + self.hashes[k : k + len(h)])
         need, have, least = window - PROBE + 1, 1, h
         while have < need:  # the least of `need` hashes in a row, by doubling
             more = min(have, need - have)
             least = np.minimum(least[: len(least) - more], least[more:])
             have += more
-        doc = np.repeat(np.arange(len(sizes)), sizes)[:m]
-        whole = np.arange(m) + window <= self.ends[doc]
-        at = np.flatnonzero(whole)
-        key, of = least[at], doc[at]
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), self.finals - self.begins)[:m]
+        at = np.flatnonzero(np.arange(window, m + window) <= self.finals[of])
+        key, of = least[at], of[at]
         new = np.ones(len(at), bool)
         new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
         starts = np.flatnonzero(new)
-        self.run_key, self.run_doc = key[starts], of[starts]
-        self.run_at = at[starts]
+        key, self.run_doc, self.run_at = key[starts], of[starts].astype(np.int64), at[starts]
         self.run_n = np.diff(np.append(starts, len(at)))  # windows of each run
+        self.run_key = mix(key)  # least hashes crowd at zero; scrambled they fill all ranges alike
         if not len(starts):
             self.run_hits = np.empty(0, np.int64)
             return
         span = self.run_n + need - 1  # a text can repeat within one run: how often the minimizer comes there
         opens = np.cumsum(span) - span
         places = np.arange(int(span.sum())) - np.repeat(opens - self.run_at, span)
-        self.run_hits = np.add.reduceat((h[places] == np.repeat(self.run_key, span)).astype(np.int64), opens)
+        self.run_hits = np.add.reduceat((h[places] == np.repeat(key, span)).astype(np.int64), opens)
+
+    def pieces(self, told: pa.Table, ranges: int) -> list[tuple[int, int, int, int, bool]]:
+        """(key, text, place, windows, whether none of them can repeat within it) of each run of a minimizer found
+        more than once, by place; those of a hot minimizer as single windows, by the hash of all their words."""
+        keys = np.unique(self.run_key)
+        many, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        starts = range_starts(keys, ranges).tolist()
+        for bucket, one, two in zip(*(told.column(c).to_pylist() for c in ("bucket", "many", "hot"))):
+            s, e = starts[bucket], starts[bucket + 1]
+            many[s:e] = np.unpackbits(np.frombuffer(one, np.uint8), count=e - s)
+            hot[s:e] = np.unpackbits(np.frombuffer(two, np.uint8), count=e - s)
+        where = np.searchsorted(keys, self.run_key)
+        r = np.flatnonzero(many[where] & ~hot[where]) if len(keys) else np.empty(0, np.int64)
+        cols = [self.run_key[r], self.run_doc[r], self.run_at[r], self.run_n[r], self.run_hits[r] == 1]
+        r = np.flatnonzero(hot[where]) if len(keys) else r
+        if len(r):
+            n = self.run_n[r]
+            at = np.repeat(self.run_at[r] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            key = np.zeros(len(at), U8)
+            for k in range(self.window):
+                key = mix(key + self.hashes[at + k])
+            more = [mix(key), np.repeat(self.run_doc[r], n), at, np.ones(len(at), np.int64), np.ones(len(at), bool)]
+            cols = [np.concatenate(x) for x in zip(cols, more)]
+        order = np.argsort(cols[2], kind="stable")
+        return list(zip(*(c[order].tolist() for c in cols)))
+
+    def numbered(self, pieces: list[tuple[int, int, int, int, bool]]) -> list[int]:
+        """The number of each piece's content, counted by first occurrence (ids ascend within a block)."""
+        seen: dict[tuple[int, bytes], int] = {}
+        raw, more = self.hashes.tobytes(), self.window - 1
+        return [seen.setdefault((key, raw[8 * at : 8 * (at + n + more)]), len(seen)) for key, _, at, n, _ in pieces]
 
 
 def _collected(t: pa.Table) -> tuple[pa.Table, list[int], list[bytes]]:
@@ -185,91 +214,77 @@ def _collected(t: pa.Table) -> tuple[pa.Table, list[int], list[bytes]]:
     return t.take(pa.array(order, pa.int64())), [ids[i] for i in order], [texts[i] for i in order]
 
 
-def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]], list[np.ndarray]], pa.Table], schema, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> DataFrame:
-    """``finish(rows, words, repeated)`` for the documents of each block, as rows of ``schema``.
+def _table(rows: list[tuple], names: list[str], kinds: tuple[pa.DataType, ...]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+
+
+def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], Words, np.ndarray], pa.Table], schema, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> DataFrame:
+    """``finish(rows, texts, words, repeated)`` for the documents of each block, as rows of ``schema``.
 
     ``rows`` has ``doc_id``, ``text`` and, if ``rest`` names columns, a struct ``rest`` of them.
 
     ``repeated`` marks the words of every window whose words also start earlier: in a document
     with a smaller id, or earlier in the same one.  Null and empty texts have no words; texts
     shorter than a window repeat nothing; a null id counts as larger than all others; rows
-    that share an id are not earlier than each other; an empty table gives an empty result.
+    that share an id are one document, so of two of them a window repeats where it starts later;
+    an empty table gives an empty result.
     """
-    n = block_count(docs, text_col)
+    n = block_count(docs, text_col, BLOCK_BYTES)
+    ranges = power_of_two(max(partitions(docs.sparkSession), n // 4))
     rows = to_blocks(docs, n, id_col, text_col, rest)
 
     def ask(t: pa.Table) -> pa.Table:
         _, _, texts = _collected(t)
         b = _Block(texts, window)
         keys, at = np.unique(b.run_key, return_inverse=True)
-        times = np.bincount(at, weights=b.run_hits, minlength=len(keys))
-        starts = range_starts(keys, n)
+        times = np.minimum(np.bincount(at, weights=b.run_hits, minlength=len(keys)), 65535).astype("<u2")
+        starts = range_starts(keys, ranges).tolist()
         block = t.column("block")[0].as_py()
-        out = [(k, block, pack_keys(keys[s:e]), np.packbits(times[s:e] > 1).tobytes()) for k, (s, e) in enumerate(zip(starts[:-1], starts[1:])) if e > s]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "twice"])
+        out = [(k, block, pack_keys(keys[s:e]), times[s:e].tobytes()) for k, (s, e) in enumerate(zip(starts, starts[1:])) if e > s]
+        return released(_table(out, ["bucket", "block", "keys", "times"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())))
 
     def answer(t: pa.Table) -> pa.Table:
         keys = [unpack_keys(k) for k in t.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(t.column("twice").to_pylist(), sizes)])
+        times = np.frombuffer(b"".join(t.column("times").to_pylist()), "<u2")
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        many = np.bincount(at, weights=1 + twice.astype(float)) > 1
+        total = np.bincount(at, weights=times)[at]
         ends = np.cumsum(sizes)
-        bits = [np.packbits(many[at[e - m : e]]).tobytes() for e, m in zip(ends, sizes)]
-        return pa.table([t.column("block"), t.column("bucket"), pa.array(bits, pa.binary())], names=["block", "bucket", "many"])
-
-    def repeated_runs(b: _Block, told: pa.Table) -> np.ndarray:
-        keys = np.unique(b.run_key)
-        starts = range_starts(keys, n)
-        by = dict(zip(told.column("bucket").to_pylist(), told.column("many").to_pylist()))
-        many = np.zeros(len(keys), bool)
-        for k, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-            if e > s:
-                many[s:e] = np.unpackbits(np.frombuffer(by[k], np.uint8), count=e - s).astype(bool)
-        return np.flatnonzero(many[np.searchsorted(keys, b.run_key)]) if len(keys) else np.empty(0, np.int64)
-
-    def stretches(b: _Block, known: list[int], runs: np.ndarray) -> tuple[list[int], dict[bytes, int]]:
-        """For each run the number of its content, and the contents by first occurrence (ids ascend within a block)."""
-        short = (b.tokens >> np.uint64(32)).astype(U4)
-        numbers, seen = [], {}
-        for r in runs.tolist():
-            at = int(b.run_at[r])
-            content = int(b.run_key[r]).to_bytes(8, "little") + short[at : at + int(b.run_n[r]) + window - 1].tobytes()
-            numbers.append(seen.setdefault(content, len(seen)))
-        return numbers, seen
+        bits = [[np.packbits(x[e - m : e]).tobytes() for e, m in zip(ends, sizes)] for x in (total > 1, total > HOT)]
+        return released(pa.table([t.column("block"), t.column("bucket"), *(pa.array(x, pa.binary()) for x in bits)], names=["block", "bucket", "many", "hot"]))
 
     def send(t: pa.Table, told: pa.Table) -> pa.Table:
-        names, kinds = ["shard", "block", "key", "number", "id", "start", "words"], (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        names, kinds = ["shard", "block", "key", "number", "id", "start", "single", "words"], (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         if not t.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
+            return _table([], names, kinds)
         _, known, texts = _collected(t)
         b = _Block(texts, window)
-        runs = repeated_runs(b, told)
-        numbers, seen = stretches(b, known, runs)
-        block, out, sent = t.column("block")[0].as_py(), [], 0
-        contents = list(seen)
-        shift = 64 - (n.bit_length() - 1)
-        for r, number in zip(runs.tolist(), numbers):
-            if number == sent:  # the first run with this content
-                sent += 1
-                key, doc = int(b.run_key[r]), int(b.run_doc[r])
-                out.append((key >> shift if n > 1 else 0, block, key - 2**63, number, known[doc], int(b.run_at[r] - b.begins[doc]), contents[number][8:]))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
+        pieces = b.pieces(told, ranges)
+        block, out = t.column("block")[0].as_py(), []
+        shift = 65 - ranges.bit_length()
+        for (key, doc, at, m, single), number in zip(pieces, b.numbered(pieces)):
+            if number == len(out):  # the first piece with this content
+                out.append((key >> shift, block, key - 2**63, number, known[doc], at - int(b.begins[doc]), single, b.joined(at, at + m + window - 1)))
+        return released(_table(out, names, kinds))
 
     def compare(t: pa.Table) -> pa.Table:
-        """One shard: the first place of each window of each stretch, as runs of (windows, id, start)."""
+        """One shard: the first place of each window of each piece, as runs of (windows, id, start)."""
         cols = [t.column(c).to_numpy() for c in ("key", "id", "start", "block", "number")]
-        words = t.column("words").to_pylist()
         order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-        out_block, out_number, out_places = [], [], []
-        group: list[int] = []
-
-        def flush() -> None:
-            group.sort(key=lambda i: (cols[1][i], cols[2][i]))
-            first: dict[bytes, int] = {}  # the same stretch from several blocks is streamed once
-            for i in group:
+        key, ids, starts = cols[0][order], cols[1][order].tolist(), cols[2][order].tolist()
+        words = [t.column("words")[i].as_py() for i in order.tolist()]
+        single = t.column("single").to_numpy()[order].tolist()
+        edges = np.flatnonzero(np.diff(key)) + 1
+        out_places: list[bytes] = []
+        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+            first: dict[bytes, int] = {}  # the same piece from several blocks is streamed once
+            for i in range(a, z):
                 first.setdefault(words[i], i)
-            feed = ((int(cols[1][i]), int(cols[2][i]), np.frombuffer(w, U4).tolist()) for w, i in first.items())
+            if len(first) == 1 and single[a]:  # nothing else to stream: each window is first where the piece is
+                out_places += [np.array([words[a].count(b" ") + 2 - window, ids[a], starts[a]], "<i8").tobytes()] * (z - a)
+                continue
+            numbers: dict[bytes, int] = {}
+            feed = ((ids[i], starts[i], [numbers.setdefault(x, len(numbers)) for x in w.split()]) for w, i in first.items())
             answers: dict[bytes, bytes] = {}
             for w, places in zip(first, first_places(feed, window)):
                 runs = []
@@ -279,36 +294,19 @@ def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]],
                     else:
                         runs.append([1, doc, at])
                 answers[w] = np.array(runs, "<i8").tobytes()
-            for i in group:
-                out_block.append(int(cols[3][i]))
-                out_number.append(int(cols[4][i]))
-                out_places.append(answers[words[i]])
-            group.clear()
-
-        size, last = 0, None
-        for i in order.tolist():
-            if size > STATES and cols[0][i] != last:
-                flush()
-                size = 0
-            group.append(i)
-            size += len(words[i]) // 4
-            last = cols[0][i]
-        if group:
-            flush()
-        return pa.table([pa.array(out_block, pa.int32()), pa.array(out_number, pa.int32()), pa.array(out_places, pa.binary())], names=["block", "number", "places"])
+            out_places += [answers[words[i]] for i in range(a, z)]
+        return released(pa.table([pa.array(cols[3][order], pa.int32()), pa.array(cols[4][order], pa.int32()), pa.array(out_places, pa.binary())], names=["block", "number", "places"]))
 
     def cut(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return finish(t, [], [])
+            return finish(t, [], Words([]), np.empty(0, bool))
         ordered, known, texts = _collected(t)
         b = _Block(texts, window)
         many, placed = (told.filter(pc.is_valid(told.column(c))) for c in ("many", "places"))
-        runs = repeated_runs(b, many)
-        numbers, _ = stretches(b, known, runs)
+        pieces = b.pieces(many, ranges)
         places = dict(zip(placed.column("number").to_pylist(), placed.column("places").to_pylist()))
-        mark = np.zeros(len(b.tokens) + 1, np.int64)
-        for r, number in zip(runs.tolist(), numbers):
-            doc, at = int(b.run_doc[r]), int(b.run_at[r])
+        mark = np.zeros(len(b.hashes) + 1, np.int64)
+        for (_, doc, at, _, _), number in zip(pieces, b.numbered(pieces)):
             mine = (known[doc], at - int(b.begins[doc]))
             for count, first_doc, first_at in np.frombuffer(places[number], "<i8").reshape(-1, 3).tolist():
                 if (first_doc, first_at) < mine:
@@ -316,43 +314,48 @@ def self_repeats(docs: DataFrame, finish: Callable[[pa.Table, list[list[bytes]],
                     mark[at + count + window - 1] -= 1
                 at += count
                 mine = (mine[0], mine[1] + count)
-        gone = np.cumsum(mark[:-1]) > 0
-        return finish(ordered, b.words, [gone[s:e] for s, e in zip(b.begins.tolist(), b.ends.tolist())])
+        return released(finish(ordered, texts, b, np.cumsum(mark[:-1]) > 0))
 
     blocks = rows.groupBy("block")
-    asked = blocks.applyInArrow(ask, "bucket int, block int, keys binary, twice binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, many binary")
-    sent = blocks.cogroup(told.groupBy("block")).applyInArrow(send, "shard int, block int, key long, number int, id long, start int, words binary")
+    asked = blocks.applyInArrow(ask, "bucket int, block int, keys binary, times binary")
+    told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, many binary, hot binary")
+    sent = blocks.cogroup(told.groupBy("block")).applyInArrow(send, "shard int, block int, key long, number int, id long, start int, single boolean, words binary")
     compared = sent.groupBy("shard").applyInArrow(compare, "block int, number int, places binary")
-    both = told.select("block", "bucket", "many", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("places")).unionAll(
-        compared.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("many"), "number", "places")
+    none = F.lit(None).cast("binary")
+    both = told.select("block", "bucket", "many", "hot", F.lit(None).cast("int").alias("number"), none.alias("places")).unionAll(
+        compared.select("block", F.lit(None).cast("int").alias("bucket"), none.alias("many"), none.alias("hot"), "number", "places")
     )
     return blocks.cogroup(both.groupBy("block")).applyInArrow(cut, schema)
 
 
-def _digests(rows: pa.Table, words: list[list[bytes]], gone: list[np.ndarray]) -> pa.Table:
-    kept = [hashlib.sha256(b" ".join([w for w, g in zip(ws, gs.tolist()) if not g])).hexdigest() for ws, gs in zip(words, gone)]
-    data = [rows.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(kept, pa.string())]
+def _spans(gone: np.ndarray, a: int, z: int) -> tuple[list[int], list[int]]:
+    """The first words and the ends of the runs of words marked, of words a to z."""
+    edge = np.diff(np.concatenate([[0], gone[a:z].view(np.int8), [0]]))
+    return (np.flatnonzero(edge == 1) + a).tolist(), (np.flatnonzero(edge == -1) + a).tolist()
+
+
+def _digests(rows: pa.Table, texts: list[bytes], b: Words, gone: np.ndarray) -> pa.Table:
+    kept, removed = [], []
+    for a, z in zip(b.begins.tolist(), b.finals.tolist()):
+        firsts, ends = _spans(gone, a, z)
+        parts = [b.joined(x, y) for x, y in zip([a, *ends], [*firsts, z]) if x < y]
+        kept.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        removed.append(sum(ends) - sum(firsts))
+    data = [rows.column("doc_id"), pa.array(b.finals - b.begins, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
     return pa.table(data, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def without(text: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
-    """The text without the words marked, each with the white space after it; what stays keeps its own."""
-    if not gone.any():
-        return text
-    out, at, keep_from = [], 0, 0
-    for w, g in zip(words, gone.tolist()):
-        start = text.index(w, at)
-        if g:
-            out.append(text[keep_from:start] if keep_from < start else b"")
-            at = start + len(w)
-            while at < len(text) and text[at] in b" \t\n\v\f\r":
-                at += 1
-            keep_from = at
-        else:
-            at = start + len(w)
-    out.append(text[keep_from:])
-    return b"".join(out)
+def without(texts: list[bytes], b: Words, gone: np.ndarray) -> list[bytes]:
+    """The texts without the words marked, each with the white space after it; what stays keeps its own."""
+    out = []
+    for text, offset, a, z in zip(texts, b.offsets.tolist(), b.begins.tolist(), b.finals.tolist()):
+        firsts, ends = _spans(gone, a, z)
+        if firsts:
+            place = lambda i: int(b.starts[i]) - offset if i < z else len(text)  # noqa: B023, E731
+            opens, stops = [0, *map(place, ends)], [*map(place, firsts), len(text)]
+            text = b"".join(text[x:y] for x, y in zip(opens, stops))
+        out.append(text)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,22 +367,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     if "n_chars" in rest:
         kinds["n_chars"] = "bigint"
 
-    def finish(rows: pa.Table, words: list[list[bytes]], gone: list[np.ndarray]) -> pa.Table:
-        texts = [without(t, w, g).decode("utf-8", "replace") for t, w, g in zip(raw_texts(rows.column("text")), words, gone)]
+    def finish(rows: pa.Table, texts: list[bytes], b: Words, gone: np.ndarray) -> pa.Table:
+        left = pa.array([t.decode("utf-8", "replace") for t in without(texts, b, gone)], pa.string())
         held = rows.column("rest").combine_chunks() if rest else None
-        data = {id_col: rows.column("doc_id"), text_col: pa.array(texts, pa.string())}
+        data = {id_col: rows.column("doc_id"), text_col: left}
         for i, c in enumerate(rest):
-            data[c] = pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars" else pc.struct_field(held, [i])
+            data[c] = pc.utf8_length(left).cast(pa.int64()) if c == "n_chars" else pc.struct_field(held, [i])
         return pa.table([data[c] for c in cols], names=cols)
 
     return self_repeats(docs, finish, ", ".join(f"`{c}` {kinds[c]}" for c in cols), window, id_col, text_col, rest)
 
 
-def against_reference(docs: DataFrame, reference: DataFrame, window: int = 20, max_bytes: int = 64 << 20, shard_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text") -> DataFrame:
+def against_reference(docs: DataFrame, reference: DataFrame, window: int = 20, max_bytes: int = 1 << 20, shard_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text") -> DataFrame:
     """(doc_id, start, length) of each maximal span of at least ``window`` words that a bounded reference contains.
 
-    The reference must be at most ``max_bytes`` of text, which is checked: its shards' automata
-    are broadcast as words and built once a task.  Null texts have no words; a null id stays null.
+    The reference must be at most ``max_bytes`` of text, which is checked: its shards are broadcast as words
+    and their automata built once a task.  They have two states a word at most, some 350 bytes each: with
+    the default 100 MB.  Null texts have no words; a null id stays null.
     """
     size = reference.agg(F.sum(F.octet_length(reference_col))).first()[0] or 0
     if size > max_bytes:

@@ -26,7 +26,7 @@ def rows() -> list[tuple]:
         (12, "É漢字 😀 ▁ <|endoftext|> tail"), (None, "no id " * 30), (None, None), (13, "x" * 5000), (14, prose(6, 80) + "\nReleased under the MIT License.\n" + prose(7, 20)),
         (15, "This program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free Software\nFoundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY\nWARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A\nPARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ]
-    out = [(i, t, "en" if i is None or i % 3 else None, f"s{(i or 0) % 3}" if i != 7 else None, None if t is None else len(t), "b", 1, "d", "w") for i, t in texts]
+    out = [(i, t, "it" if i is None or i % 3 else None, f"s{(i or 0) % 3}" if i != 7 else None, None if t is None else len(t), "b", 1, "d", "w") for i, t in texts]
     return [*out, out[3], out[3]]  # repeated rows
 
 

@@ -61,11 +61,30 @@ def test_substring_periodic_and_hot(spark):
     assert order(got) == order(plain_repeats(data))
 
 
-def test_substring_restarts(spark, monkeypatch):
-    monkeypatch.setattr(substring, "STATES", 50)
-    data = [(i, prose(i % 7, 60)) for i in range(30)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    assert order([tuple(r) for r in substring.self_repeats(df, substring._digests, SCHEMA).collect()]) == order(plain_repeats(data))
+def test_substring_hot_minimizers(spark, monkeypatch):
+    """Windows of frequent minimizers go one by one; the rows are the same."""
+    line = prose(50, 25)
+    data = [(i, prose(i % 7, 60) + (" " + PASSAGE if i % 2 else "") + (" " + line) * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for hot in (2, 20):
+        monkeypatch.setattr(substring, "HOT", hot)
+        assert order([tuple(r) for r in substring.self_repeats(df, substring._digests, SCHEMA).collect()]) == order(plain_repeats(data))
+
+
+def test_minimizers_fill_all_shards():
+    b = substring._Block([prose(i, 400).encode() for i in range(60)], 20)
+    counts = np.bincount((b.run_key >> np.uint64(59)).astype(int), minlength=32)
+    assert counts.max() < 2 * counts.mean() and counts.min() > counts.mean() / 2
+
+
+def test_words_of_a_block():
+    texts = [b"", b" a\tb  c\n", "é漢 x\x00y\x1cz".encode(), b"y" * (blocks.LONG + 9) + b" " + b"y" * (blocks.LONG + 9) + b" tail", b"\v", prose(3, 90_000).encode() + b" tail"]
+    b = blocks.Words(texts)
+    want = [t.split() for t in texts]
+    assert [[b.raw[s:e] for s, e in zip(b.starts[x:y], b.ends[x:y])] for x, y in zip(b.begins, b.finals)] == want
+    words = [w for ws in want for w in ws]
+    assert len(set(b.hashes.tolist())) == len(set(words)) == len(set(zip(words, b.hashes.tolist())))
+    assert [b.joined(x, y) for x, y in zip(b.begins, b.finals)] == [b" ".join(ws) for ws in want]
 
 
 def test_remove_repeats(docs):
@@ -74,7 +93,8 @@ def test_remove_repeats(docs):
     got = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
     assert PASSAGE in got[8]["text"] and PASSAGE not in got[9]["text"] and prose(4, 50) in got[9]["text"]
     assert got[1]["text"] == "" and got[1]["n_chars"] == 0 and got[0]["text"] == rows()[0][1]
-    assert substring.without(b"a b  c\nd", [b"a", b"b", b"c", b"d"], np.array([False, True, False, True])) == b"a c\n"
+    texts = [b"a b  c\nd", b" e\tf\n"]
+    assert substring.without(texts, blocks.Words(texts), np.array([False, True, False, True, False, False])) == [b"a c\n", texts[1]]
 
 
 def test_automaton():
