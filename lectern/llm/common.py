@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,5 +66,37 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def sorted_groups(batches: Iterable[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], list[np.ndarray]], keys: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each group of two rows or more, of a stream sorted by its keys.  One group is held at a time."""
+    held: list[list[np.ndarray]] = []
+    last = None
+
+    def ended() -> Iterator[list[np.ndarray]]:
+        if sum(len(x[0]) for x in held) > 1:
+            yield [np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = arrays(b)
+        ks = keys(now)
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in ks:
+            change |= k[1:] != k[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change) + 1, [b.num_rows]])
+        if tuple(k[0] for k in ks) != last:
+            yield from ended()
+            held = []
+        held.append([x[: edges[1]] for x in now])
+        if len(edges) > 2:
+            yield from ended()
+            for a, z in zip(edges[1:-2], edges[2:-1]):
+                if z - a > 1:
+                    yield [x[a:z] for x in now]
+            held = [[x[edges[-2] :] for x in now]]
+        last = tuple(k[-1] for k in ks)
+    yield from ended()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -20,7 +20,7 @@ def _minima(both: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:

@@ -7,27 +7,29 @@ them: that table reads none of the differing bits and the pair collides in it fo
 No pair within the radius is missed, whatever the data.
 
 Only distinct fingerprints enter the tables, so copies cost nothing.  A bucket yields a
-spanning forest of its links, at most one row for each fingerprint, instead of its pairs;
-large buckets are split again by the same masks before any comparison.
+spanning forest of its links, at most one row for each fingerprint, instead of its pairs.
+The members of a bucket agree on the 32 bits its table reads; one of more than ``WHOLE`` is dealt
+again by a second covering family over the 32 bits left, whose tables read 16 of them.  No pair
+is lost by that either, and a part holds at most 65,536 fingerprints, whatever the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .common import lower_ascii, map_batches, raw_texts, table, words_of
+from .common import lower_ascii, map_batches, raw_texts, sorted_groups, table, words_of
 from .components import components
 
 BITS = 64
 STRIP = 64  # fingerprints compared with all others at once
-WHOLE = 50_000  # a bucket above this is split again before any comparison
+WHOLE = 20_000  # a bucket above this is dealt again before any comparison
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -39,9 +41,18 @@ def covering_masks(radius: int) -> list[int]:
     """
     if not 1 <= radius <= 6:
         raise ValueError("the radius is 1 to 6: 64 positions have no balanced family beyond")
+    return _family(range(BITS), radius)
+
+
+def _family(positions: Sequence[int], radius: int) -> list[int]:
     top = 1 << radius
-    phi = [top | i % top for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if bin(phi[i] & v).count("1") % 2) for v in range(1, 2 * top) if v != top]
+    return [sum(1 << p for i, p in enumerate(positions) if bin((top | i % top) & v).count("1") % 2) for v in range(1, 2 * top) if v != top]
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks that read ``mask`` and half of the positions it leaves: any pair within the radius that agrees on
+    ``mask`` agrees on one of them.  Beyond a radius of 5 the positions left have no balanced family."""
+    return [mask | m for m in _family([i for i in range(BITS) if not mask >> i & 1], radius)] if radius < 6 else [mask]
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> bytes:
@@ -65,7 +76,11 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42, distinct: boo
         words = list(dict.fromkeys(words))
     if not words:
         return 0
-    hashes = shingle_hashes(words, width, seed)
+    return majority(shingle_hashes(words, width, seed))
+
+
+def majority(hashes: bytes) -> int:
+    """The bits set in over half of the hashes, eight big-endian bytes each."""
     rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     total, count = np.zeros(BITS, dtype=np.int64), len(rows)
     for at in range(0, count, 8192):
@@ -74,7 +89,7 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42, distinct: boo
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, verify_width: int | None = None) -> DataFrame:
-    """(doc_id, fp long, second long) of every row.
+    """(doc_id, fp long, second long, text_key long: a hash of the text) of every row.
 
     Without ``verify_width`` fp is over shingles of ``width`` words and second is 0; with it fp
     is over the distinct words and second over shingles of ``verify_width`` words.  A null, empty
@@ -88,9 +103,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             one, two = [fingerprint(t, 1, distinct=True) for t in texts], [fingerprint(t, verify_width) for t in texts]
         longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-        return pa.record_batch([b.column(0), *longs], names=["doc_id", "fp", "second"])
+        return pa.record_batch([b.column(0), *longs, b.column(2)], names=["doc_id", "fp", "second", "text_key"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long, second long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
+    return map_batches(rows, run, "doc_id long, fp long, second long, text_key long")
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _links(x: np.ndarray, y: np.ndarray, radius: int, second_radius: int) -> list[tuple[int, int]]:
@@ -112,65 +132,38 @@ def _links(x: np.ndarray, y: np.ndarray, radius: int, second_radius: int) -> lis
     return out
 
 
-def forest(fps: np.ndarray, second: np.ndarray, radius: int, second_radius: int, masks: list[int]) -> list[tuple[int, int]]:
-    """Links (places in ``fps``) that connect what is linked within both radii."""
-    if len(fps) <= WHOLE:
-        return _links(fps, second, radius, second_radius)
-    out = []
-    for m in masks:  # every pair within the radius meets in one of these parts
-        key = fps & np.uint64(m)
-        order = np.argsort(key, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            if len(part) > 1:
-                out += [(int(part[a]), int(part[b])) for a, b in _links(fps[part], second[part], radius, second_radius)]
-    return out
-
-
 def near_links(nodes: DataFrame, radius: int = 3, second_radius: int = BITS) -> DataFrame:
     """(fu, su, fv, sv): links among the distinct pairs (fp, second) of ``nodes`` that connect exactly
     what a comparison of all pairs would connect."""
-    masks = covering_masks(radius)
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, signed)), F.col("t") + 1))
-    rows = nodes.select("fp", "second", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
-    names = ["fu", "su", "fv", "sv"]
-
-    def links(fp: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
-        found = forest(fp.view(np.uint64), second.view(np.uint64), radius, second_radius, masks)
-        if not found:
-            return None
-        at = np.array(found)
-        return pa.record_batch([pa.array(x[at[:, k]]) for k in (0, 1) for x in (fp, second)], names=names)
+    coarse = covering_masks(radius)
+    finer = [finer_masks(m, radius) for m in coarse]
+    masks = [*coarse, *(m for ms in finer for m in ms)]  # table t, or the parts of its large buckets
+    signed = F.array(*(F.lit(m - 2**64 if m >= 2**63 else m) for m in masks))
+    key = F.col("fp").bitwiseAND(F.element_at(signed, F.col("t") + 1))
+    each = len(finer[0])
+
+    def dealt(rows: DataFrame, tables: Column) -> DataFrame:
+        return rows.select("fp", "second", F.explode(tables).alias("t")).withColumn("key", key)
+
+    rows = dealt(nodes, F.sequence(F.lit(0), F.lit(len(coarse) - 1)))
+    large = write_table(rows.groupBy("t", "key").agg(F.count("*").alias("m")).filter(F.col("m") > WHOLE).select("t", "key"), "large")
+    first = len(coarse) + F.col("t") * each
+    rows = rows.join(large, ["t", "key"], "left_anti").unionByName(dealt(rows.join(large, ["t", "key"], "left_semi"), F.sequence(first, first + each - 1)))
+    names, masked = ["fu", "su", "fv", "sv"], np.array(masks, dtype=np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The stream is sorted by table and key; the open bucket waits for the next batch."""
-        held: list[np.ndarray] = []
-        masked = np.array(masks, dtype=np.uint64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if held:
-                now = [np.concatenate([h, x]) for h, x in zip(held, now)]
-            fp, second, t = now
-            k = fp.view(np.uint64) & masked[t]
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-            last = cut[-1] if len(cut) else 0
-            held = [x[last:] for x in now]
-            edges = np.concatenate([[0], cut])
-            sizes = np.diff(edges)
-            for s, n in zip(edges[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                if out := links(fp[s : s + n], second[s : s + n]):
-                    yield out
-        if held and len(held[0]) > 1 and (out := links(*held[:2])):
-            yield out
-
-    dealt = rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, "fp", "second")
-    return dealt.mapInArrow(run, "fu long, su long, fv long, sv long").distinct()
+        arrays = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        for fp, second, _ in sorted_groups(batches, arrays, lambda x: [x[2], x[0].view(np.uint64) & masked[x[2]]]):
+            if found := _links(fp.view(np.uint64), second.view(np.uint64), radius, second_radius):
+                at = np.array(found)
+                yield pa.record_batch([pa.array(x[at[:, k]]) for k in (0, 1) for x in (fp, second)], names=names)
+
+    met = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", "second").select("fp", "second", "t")
+    return met.mapInArrow(run, "fu long, su long, fv long, sv long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, verify_width: int | None = None, verify_radius: int = 12) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``.
+    """(doc_id, fp, component_id, text_key) for each row of ``docs``.
 
     Rows are linked if their fingerprints over shingles of ``width`` words differ in at most
     ``radius`` bits.  With ``verify_width`` they are linked if the fingerprints over their
@@ -194,24 +187,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = write_table(of, "roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = write_table(of.join(least, "root").select("node", "component_id"), "named")
-    return fps.join(named, "node").select("doc_id", "fp", "component_id")
+    return fps.join(named, "node").select("doc_id", "fp", "component_id", "text_key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each near-duplicate group.
 
-    Ids are taken as unique; rows that share the naming id all stay, as do rows with a null id
-    in a component without any id.  ``how`` goes to :func:`near_duplicates`.
+    Of rows that share the naming id all in its component stay, as do rows with a null id in a component
+    without any id.  ``how`` goes to :func:`near_duplicates`.
     """
-    return keep_named(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+    return keep_named(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
 
 
-def keep_named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is its own component in ``found`` (doc_id, component_id)."""
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its own component in ``found`` (doc_id, component_id, text_key)."""
     none = F.lit(-(2**63)).cast("long")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("id")).distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), none).alias("id"))
-    return whole.join(gone, "id", "left_anti").select("row.*")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("id"), F.col("text_key").alias("of")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), none).alias("id"), text_key(text_col).alias("of"))
+    return whole.join(gone, ["id", "of"], "left_anti").select("row.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

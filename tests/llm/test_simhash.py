@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -57,7 +58,7 @@ def test_near_duplicates(docs, empty):
     fps = [simhash.fingerprint((r[1] or "").encode()) for r in data]
     want = brute_components([r[0] for r in data], fps, lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
     order = lambda x: tuple((v is None, v or 0) for v in x)
-    assert sorted(((r[0], r[2]) for r in got), key=order) == sorted(((r[0], c) for r, c in zip(data, want)), key=order)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=order) == sorted(((r[0], c) for r, c in zip(data, want)), key=order)
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -76,16 +77,38 @@ def test_links_against_all_pairs(spark):
     assert brute_components(fps, fps, lambda a, b: frozenset((fps[a], fps[b])) in pairs) == want
 
 
-def test_large_bucket_is_split(monkeypatch):
+def test_finer_masks_cover_and_split():
+    r = random.Random(9)
+    for m in simhash.covering_masks(3):
+        finer = simhash.finer_masks(m, 3)
+        assert len(finer) == 14 and {bin(x).count("1") for x in finer} == {48} and all(x & m == m for x in finer)
+        left = [i for i in range(64) if not m >> i & 1]
+        for _ in range(300):  # a pair that agrees on the table's bits
+            diff = sum(1 << i for i in r.sample(left, 3))
+            assert any(diff & x == 0 for x in finer)
+
+
+def test_large_bucket_is_dealt_again(spark, monkeypatch):
+    """The same components, by fewer comparisons, though one table's bucket holds all fingerprints."""
     r = random.Random(4)
-    base = r.getrandbits(64)
-    x = np.array(sorted({base ^ sum(1 << i for i in r.sample(range(64), 4)) for _ in range(400)}), dtype=np.uint64)
-    zero, masks = np.zeros_like(x), simhash.covering_masks(3)
-    one = simhash.forest(x, zero, 3, 64, masks)
-    monkeypatch.setattr(simhash, "WHOLE", 10)
-    two = simhash.forest(x, zero, 3, 64, masks)
-    parts = lambda e: brute_components(list(range(len(x))), None, lambda a, b: (a, b) in e or (b, a) in e)
-    assert parts(set(one)) == parts(set(two))
+    mask = simhash.covering_masks(3)[0]
+    left = [i for i in range(64) if not mask >> i & 1]
+    fps = sorted({sum(1 << i for i in left if r.random() < 0.5) for _ in range(600)})
+    fps = sorted({*fps, *(f ^ 1 << r.choice(left) ^ 1 << r.choice(left) for f in fps[:200])})
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, 0) for f in fps], "fp long, second long")
+    want = brute_components(fps, fps, lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
+    finer = simhash.finer_masks(mask, 3)
+    assert sum(n * n for m in finer for n in Counter(f & m for f in fps).values()) < len(fps) ** 2 / 10
+    for whole in (10, 10**6):
+        monkeypatch.setattr(simhash, "WHOLE", whole)
+        pairs = {frozenset(int(np.uint64(v % 2**64)) for v in (x["fu"], x["fv"])) for x in simhash.near_links(df).collect()}
+        assert brute_components(fps, fps, lambda a, b: frozenset((fps[a], fps[b])) in pairs) == want
+
+
+def test_null_ids_and_shared_ids_stay_apart(spark):
+    a, b, c = "one text of its own here", "another text, not the same", "third and last of them all"
+    df = spark.createDataFrame([(1, a), (None, a), (None, b), (2, c), (3, c), (3, b + " at all")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.one_of_each(df).collect()) == sorted([a, b, c, b + " at all"])
 
 
 def test_one_of_each(docs):
