@@ -94,7 +94,47 @@ def test_license_order(spark):
 
 
 def test_license_anchors():
-    assert all(re.search(license_scan.ANCHORS, s) for s in license_scan.sentence_ids())
+    assert all(re.search(license_scan.ANCHORS, t.lower()) for texts in license_scan.SENTENCES.values() for t in texts)
+
+
+LITERAL = {  # headers as they are published, the answer beside them
+    "gpl3-semicolons": ("""    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""", "GPL-3.0-or-later"),
+    "gpl2-only": ("""This program is free software; you can redistribute it and/or modify it under the
+terms of the GNU General Public License version 2 as published by the Free
+Software Foundation.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+""", "GPL-2.0-only"),
+    "lgpl": ("""This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""", "LGPL-2.1-or-later"),
+    "spdx": ("// SPDX-License-Identifier: Apache-2.0\nint main;", "Apache-2.0"),
+    "no-version": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; see the file. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", ""),
+    "apart": ("SPDX-License-Identifier: see below. MIT.", ""),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    "zlib": ("This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin", "Zlib"),
+}
+
+
+def test_license_literals(spark, tmp_path):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in LITERAL.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(df).collect()}
+    assert got == {k: v for k, (_, v) in LITERAL.items()}
+    df.write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    assert {r[0]: r[2] for r in c.sql(license_scan.OP6_SQL).fetchall()} == got
 
 
 def test_license_wrapped(spark):
