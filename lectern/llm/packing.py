@@ -21,6 +21,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from .common import table
 from .vocab import byte_level
 
 BROADCAST_ROWS = 1_000_000  # of (task, queue, tokens), some 40 MB
+MOST_QUEUES = 500_000  # sources whose names and totals the schedule may hold, some 50 MB
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
@@ -48,9 +50,14 @@ class Schedule:
         at, served = Fraction(0), [Fraction(0)] * len(tokens)
         self.phases: list[tuple[Fraction, list[Fraction], list[Fraction]]] = []
         live = [s for s, n in enumerate(tokens) if n]
+        if weights is None and live:  # all run dry together
+            self.phases.append((at, served, [Fraction(n, sum(tokens)) for n in tokens]))
+            live = []
         while live:
             total = sum(share[s] for s in live)
-            rate = [share[s] / total if s in live else Fraction(0) for s in range(len(tokens))]
+            rate = [Fraction(0)] * len(tokens)
+            for s in live:
+                rate[s] = share[s] / total
             self.phases.append((at, list(served), rate))
             step = min((tokens[s] - served[s]) / rate[s] for s in live)
             at += step
@@ -60,6 +67,7 @@ class Schedule:
         self.starts = [p[0] for p in self.phases]
         self.windows = -(-self.total // window)
         self._cache: dict[int, list[int]] = {}
+        self._laid: dict[int, tuple[list[int], list[int], list[int]]] = {}
 
     def served(self, w: int) -> list[int]:
         """Tokens served from each queue in the first ``w`` windows."""
@@ -92,21 +100,27 @@ class Schedule:
         """(tokens before it, length, output position) of the runs of tokens x to x + n of queue ``s``."""
         end, done, w = x + n, x, self.window_of(s, x) if n else 0
         while done < end:
-            before, after = self.served(w), self.served(w + 1)
+            before, after, first = self.laid(w)
             stop = min(end, after[s])
             if stop > done:
-                ahead = sum(before) + sum(a - b for a, b in zip(after[:s], before[:s]))
-                yield done - x, stop - done, ahead + done - before[s]
+                yield done - x, stop - done, first[s] + done - before[s]
                 done = stop
             w += 1
 
+    def laid(self, w: int) -> tuple[list[int], list[int], list[int]]:
+        """Tokens served before and after window ``w``, and the output position where each queue's part of it begins."""
+        if w not in self._laid:
+            if len(self._laid) > 64:
+                self._laid.clear()
+            before, after = self.served(w), self.served(w + 1)
+            self._laid[w] = before, after, list(accumulate((b - a for a, b in zip(before, after)), initial=sum(before)))
+        return self._laid[w]
+
 
-def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, queues: int, vocabulary: str, end_id: int) -> DataFrame:
+def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, queue, task, before, n, ids): every document's ids with ``end_id``, and the tokens before it in its queue within its task."""
     source = F.lit("") if source_col is None or source_col not in docs.columns else F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), source.alias("queue"))
-    if queues:
-        rows = rows.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(queues)).cast("string")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, task, seen = byte_level(vocabulary), TaskContext.get().partitionId(), {}
@@ -125,29 +139,26 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str | None
     return rows.mapInArrow(run, "doc_id long, queue string, task int, before long, n long, ids binary")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", length: int = 1024, weights: dict[str, float] | None = None, max_queues: int = 4096, vocabulary: str = "byte_bpe_50k", end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", length: int = 1024, weights: dict[str, float] | None = None, vocabulary: str = "byte_bpe_50k", end_id: int = 0) -> DataFrame:
     """Pieces of all documents, placed in sequences of ``length`` tokens.
 
     ``weights`` are target shares by source; by default each source's share of all tokens, which
-    makes every window a sample of the corpus.  More than ``max_queues`` sources share that many
-    queues by hash (then ``weights`` can't be given); none is dropped.
+    makes every window a sample of the corpus.  Each source is a queue of its own; their totals are
+    all that the schedule holds, and more than ``MOST_QUEUES`` of them raise an error.
 
     A null or empty text is its end token alone; a null source is the queue ""; null ids are
     packed and stay null; repeated rows are packed as often as they come; an empty table
     gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
-    queues = 0
-    if source_col is not None and source_col in docs.columns:
-        distinct = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).distinct().limit(max_queues + 1).count()
-        queues = max_queues if distinct > max_queues else 0
-        if queues and weights:
-            raise ValueError("weights need at most max_queues sources")
-    tokens = write_table(tokenise(docs, id_col, text_col, source_col, queues, vocabulary, end_id), "tokens")
+    tokens = write_table(tokenise(docs, id_col, text_col, source_col, vocabulary, end_id), "tokens")
     sums = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     sums = write_table(sums.select("queue", "task", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("earlier")), "queue-sums")
-    held = {r["queue"]: int(r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    if totals.count() > MOST_QUEUES:
+        raise ValueError(f"more than {MOST_QUEUES} sources: pack by a coarser column")
+    held = {r["queue"]: int(r["n"]) for r in totals.collect()}
     names = sorted(held)
     window = length * max(64, 4 * len(names))
     share = None if weights is None else [weights.get(q, 0) for q in names]

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm.packing import Schedule, pack
 from lectern.llm.vocab import byte_level, piece_ids, sentencepiece_cache, vocabulary_path
-from tests.llm.conftest import rows
+from tests.llm.conftest import prose, rows
 
 
 def check(pieces, texts, length=1024):
@@ -38,7 +39,23 @@ def test_pieces(spark):
     data = {r[0]: r for r in rows() if r[0] is not None}
     df = spark.createDataFrame([(r[0], r[1], r[3]) for r in data.values()], "doc_id long, text string, source string").repartition(3)
     check(pack(df).collect(), [(r[0], r[1]) for r in data.values()])
-    check(pack(df, max_queues=2).collect(), [(r[0], r[1]) for r in data.values()])
+    with_every_source = df.withColumn("source", df["doc_id"].cast("int"))
+    check(pack(with_every_source).collect(), [(r[0], r[1]) for r in data.values()])
+
+
+def test_windows_of_the_output_keep_proportions(spark):
+    """A third of all rows in one source, sources of another type, texts dealt unevenly over partitions."""
+    data = [(i, prose(i, 300), 0 if i % 3 == 0 else i % 40) for i in range(900)]
+    pieces = pack(spark.createDataFrame(data, "doc_id long, text string, source int").repartitionByRange(5, "source"), length=256).collect()
+    total, by = Counter(), {}
+    for p in pieces:
+        total[p["queue"]] += p["length"]
+        window = (p["sequence_id"] * 256 + p["offset"]) // (256 * 160)
+        by.setdefault(window, Counter())[p["queue"]] += p["length"]
+    n, whole = sum(total.values()), sorted(by)[:-1]
+    assert len(total) == 40 and len(whole) >= 8
+    for w in whole:  # a piece may reach over a window's end by its own length
+        assert all(abs(by[w][q] - 256 * 160 * t / n) <= 256 + 40 for q, t in total.items())
 
 
 def test_edges(docs, empty):
