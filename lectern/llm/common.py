@@ -100,3 +100,21 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], arrays: Callable[[pa.Record
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column, total: int, width: int) -> DataFrame:
+    """``rows`` left-joined to their group: a row of ``groups`` (the key, ``n`` rows in it, ``keep``).
+
+    A group of more than a quarter of a task's fair share of ``total`` rows, of which there are ``4 * width``
+    at most, is broadcast.  Its rows go to the other join under keys of their own made from ``spread``, which meet
+    nothing: a third of all rows in one group is spread like any other rows.
+    """
+    hot = F.col("n") > max(1, total // (4 * width))
+    big = F.broadcast(groups.filter(hot).withColumnsRenamed({"n": "big_n", "keep": "big_keep"}))
+    rest = groups.filter(~hot)
+    first = key[0]
+    kind = rows.schema[first].dataType
+    own = F.concat(F.lit("#"), spread.cast("string")).cast(kind)
+    found = rows.join(big, key, "left").withColumn("own", F.col(first)).withColumn(first, F.when(F.col("big_n").isNull(), F.col(first)).otherwise(own))
+    found = found.join(rest, key, "left").withColumn(first, F.col("own"))
+    return found.withColumns({"n": F.coalesce("big_n", "n"), "keep": F.coalesce("big_keep", "keep")}).drop("big_n", "big_keep", "own")

@@ -7,7 +7,8 @@ each of them keeps the digests with its own digit k.  After an exchange the part
 merged in order and equal digests collapse to one row that retains the smallest (or
 largest) identifier and the number of rows.  A group that holds a third of all rows is
 one row for each partition after the first run and at most ``fan_in`` rows for each merge,
-so no task ever gathers it.
+so no task ever gathers it; its answer goes back to its rows by broadcast, those of smaller
+groups by a join.
 
 A digest is verified at every level: rows collapse only if SHA-256, byte length and an
 independent 64-bit hash all agree.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .common import partitions, table
+from .common import partitions, table, with_groups
 
 KEY = ["digest", "bytes", "check"]
 _RUN = "digest binary, bytes long, check long, keep long, n long"
@@ -99,10 +100,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     rows = write_table(rows, "digests")  # the texts are hashed once
     runs = rows.select(*KEY, F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
-    groups = write_table(tree_merge(runs, partitions(docs.sparkSession), fan_in, largest).filter("n > 1"), "digest-groups")
+    width = partitions(docs.sparkSession)
+    groups = write_table(tree_merge(runs, width, fan_in, largest).filter("n > 1"), "digest-groups")
     seen = rows.groupBy(*KEY, "id").agg(F.count("*").alias("copies"))
-    out = seen.join(groups, KEY, "left").withColumn("keep", F.coalesce("keep", "id"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = with_groups(seen, groups, KEY, F.col("id"), rows.count(), width).withColumn("keep", F.coalesce("keep", "id"))
+    thousand = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000)))
+    out = out.withColumn("thousand", thousand).withColumn("copy", F.explode(F.sequence(F.col("thousand") * 1000 + 1, F.least("copies", F.col("thousand") * 1000 + 1000))))
     return out.select(
         F.nullif(F.col("id"), none).alias("doc_id"),
         F.nullif(F.col("keep"), none).alias("keep_id"),

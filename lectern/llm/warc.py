@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import drop_table, fresh_path, write_table
-from .common import table
+from .common import partitions, table, with_groups
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,8 +112,8 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 1000, shard_b
     bounds = range_bounds(narrow.select("id", (F.col("bytes") + 600).alias("bytes")), shard_bytes)
 
     same = narrow.filter(F.col("bytes") >= revisit_from)
-    keep = same.groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    told = same.join(keep, "sha").select("id", "sha", "keep").distinct()
+    keep = write_table(same.groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    told = with_groups(same, keep, ["sha"], F.xxhash64("id"), narrow.count(), partitions(spark)).filter("n IS NOT NULL").select("id", "sha", "keep").distinct()
 
     cuts = np.array(bounds, dtype=np.int64)
 

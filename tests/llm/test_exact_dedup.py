@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup
+from lectern.llm.common import with_groups
 from lectern.llm.exact_dedup import duplicate_groups
 from tests.llm.conftest import rows
 
@@ -41,6 +43,28 @@ def test_hot_group(spark):
     assert out.filter("keep_id = 0").count() == 1667
 
 
+def test_hot_group_meets_no_task(spark):
+    """Rows of a group with a third of the table are spread over the join's partitions like others."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('t', id % 1000)) AS digest", "id")
+    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_groups(rows, groups, ["digest"], F.col("id"), 3000, 4)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 1.3 * 3000 / 4
+        assert out.join(groups.withColumnRenamed("n", "m"), "digest").filter("n <=> m").count() == out.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_row_that_repeats_often(spark):
+    df = spark.range(2501).selectExpr("7L AS doc_id", "'same' AS text")
+    out = duplicate_groups(df)
+    assert out.count() == 2501 and out.filter("kept").count() == 1 and out.filter("group_size = 2501").count() == 2501
+
+
 def test_bad_keep(docs):
     with pytest.raises(ValueError):
         duplicate_groups(docs, keep="any")
