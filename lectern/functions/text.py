@@ -151,22 +151,25 @@ ACCENTED, PLAIN = ("".join(x) for x in zip(*_PAIRS))
 
 
 def search_tokens(text: Column | str) -> Column:
-    """Runs of letters and digits, lower-cased and without diacritics, in order."""
-    plain = F.translate(F.lower(_col(text)), ACCENTED, PLAIN)
-    return F.regexp_extract_all(F.regexp_replace(plain, r"\p{M}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased and without diacritics, in order.
+
+    Only tokens that are not ASCII are searched for diacritics."""
+    runs = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
+    bare = lambda w: F.regexp_replace(F.translate(w, ACCENTED, PLAIN), r"\p{M}", "")
+    return F.filter(F.transform(runs, lambda w: F.when(F.octet_length(w) == F.length(w), w).otherwise(bare(w))), lambda w: w != "")
 
 
 def alpha_percent(text: Column | str) -> Column:
     """ASCII letters in 100 bytes, rounded down; 100 for an empty text."""
     n = F.octet_length(_col(text))
-    letters = F.length(F.regexp_replace(_col(text), "[^A-Za-z]", ""))
+    letters = F.length(F.regexp_replace(_col(text), "[^A-Za-z]+", ""))
     return F.when(n == 0, F.lit(100)).otherwise(F.floor(letters * 100 / n)).cast("int")
 
 
 def bad_percent(text: Column | str) -> Column:
     """Control characters and three times the replacement characters in 100 bytes, rounded down."""
     n = F.octet_length(_col(text))
-    bad = F.length(F.regexp_replace(_col(text), r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")) + 3 * F.length(F.regexp_replace(_col(text), "[^�]", ""))
+    bad = F.length(F.regexp_replace(_col(text), r"[^\x00-\x08\x0B\x0C\x0E-\x1F]+", "")) + 3 * F.length(F.regexp_replace(_col(text), "[^�]+", ""))
     return F.when(n == 0, F.lit(0)).otherwise(F.floor(bad * 100 / n)).cast("int")
 
 

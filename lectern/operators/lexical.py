@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, search_tokens
+from ..scratch import write_table
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -247,7 +248,8 @@ def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: s
     """(id, score) of the ``k`` best rows, best first; equal scores by id.
 
     A row's length and a phrase's frequency are pooled over the fields; null fields are empty.
-    Two passes: one row of corpus statistics, then the scores of the rows that match.
+    Texts are read once: each row's length and counts go to a table in the shared folder, which gives one
+    row of corpus statistics and then the scores of the rows that match.
     """
     tree = parse_query(query, list(fields))
     wanted = atoms_of(tree)
@@ -255,6 +257,7 @@ def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: s
     names = {name: F.col(f"f{i}") for i, name in enumerate(fields)}
     length = sum((F.size(c) for c in names.values()), F.lit(0))
     counts = tokens.select("id", length.cast("double").alias("len"), _matches(tree, names).alias("match"), *(_count(names, a).cast("double").alias(f"n{j}") for j, a in enumerate(wanted)))
+    counts = write_table(counts, "counts")
     stats = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count(F.when(F.col(f"n{j}") > 0, 1)).alias(f"d{j}") for j in range(len(wanted)))).first()
     score = F.lit(0.0)
     for j in range(len(wanted)):
@@ -266,7 +269,7 @@ def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: s
 
 def postings(rows: DataFrame, text_cols: list[str], id_col: str) -> DataFrame:
     """(term, id, tf, len): one row for each distinct term of each row.  No shuffle: terms are counted within the row."""
-    tokens = F.array_sort(F.concat(*(F.coalesce(search_tokens(c), F.array().cast("array<string>")) for c in text_cols)))
+    tokens = F.sort_array(F.concat(*(F.coalesce(search_tokens(c), F.array().cast("array<string>")) for c in text_cols)))
     # where each term's run begins in the sorted tokens, then how long it is
     begins = lambda t: F.filter(F.transform(in_a_row(F.concat(F.array(F.lit("")), t), 2), lambda s, i: F.when(s["0"] != s["1"], F.struct(s["1"].alias("term"), i.alias("at")))), lambda x: x.isNotNull())
     listed = rows.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), begins(tokens).alias("s")).filter("len > 0")
@@ -275,6 +278,14 @@ def postings(rows: DataFrame, text_cols: list[str], id_col: str) -> DataFrame:
     return terms.select(F.col("x.s.term").alias("term"), "id", (F.col("x.e") - F.col("x.s.at")).cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
 
 
+def term_statistics(rows: DataFrame, text_cols: list[str]) -> DataFrame:
+    """(term, df, cf): rows that hold each term and how often they do, from each row's tokens followed by its distinct ones."""
+    tokens = F.concat(*(F.coalesce(search_tokens(c), F.array().cast("array<string>")) for c in text_cols))
+    listed = rows.select(tokens.alias("t")).select(F.size("t").alias("n"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("at", "term"))
+    once = F.col("at") >= F.col("n")
+    return listed.groupBy("term").agg(F.count(F.when(once, 1)).alias("df"), F.count(F.when(~once, 1)).alias("cf"))
+
+
 def write_postings(rows: DataFrame, text_cols: list[str], id_col: str, path: str) -> None:
     """Postings sorted by term, and the corpus statistics beside them."""
     postings(rows, text_cols, id_col).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")

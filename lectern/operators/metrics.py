@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import search_tokens
 from .lexical import in_a_row
 
+BROADCAST_ROWS = 500_000  # shingles of some 60 bytes: 30 MB
+
 
 def shingles(tokens: Column, width: int) -> Column:
     """The distinct runs of ``width`` tokens, joined by spaces."""
@@ -28,8 +30,12 @@ def extraction_quality(pairs: DataFrame, got_col: str, wanted_col: str, width: i
 
 
 def overlap(rows: DataFrame, passages: DataFrame, id_col: str, item_col: str, width: int = 5, text_col: str = "text") -> DataFrame:
-    """(id, item, shared, share): passages that share shingles with rows, by an equi-join on the shingle."""
+    """(id, item, shared, share): passages that share shingles with rows, by an equi-join on the shingle.
+
+    The passages' shingles are broadcast if they are ``BROADCAST_ROWS`` at most, so that no row's shingles
+    travel; more are joined by a shuffle."""
     a = rows.select(F.col(id_col).alias("id"), F.explode(shingles(search_tokens(text_col), width)).alias("s"))
     p = passages.select(F.col(item_col).alias("item"), shingles(search_tokens(text_col), width).alias("all"))
     b = p.select("item", F.size("all").alias("of"), F.explode("all").alias("s"))
+    b = F.broadcast(b) if b.count() <= BROADCAST_ROWS else b
     return a.join(b, "s").groupBy("id", "item").agg(F.count("*").alias("shared"), F.max("of").alias("of")).select("id", "item", "shared", (F.col("shared") / F.col("of")).alias("share"))

@@ -93,8 +93,7 @@ WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), u AS (SELECT doc_id,
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM u GROUP BY term""")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term."""
-    rows = lexical.postings(_table(spark, sf_dir, "documents"), ["text"], "doc_id")
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return lexical.term_statistics(_table(spark, sf_dir, "documents"), ["text"])
 
 
 def _probe(vectors: DataFrame) -> list[float]:
@@ -240,7 +239,7 @@ def remove_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
 s AS (SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM n),
-b AS (SELECT DISTINCT floor(f / 16) AS b FROM (SELECT unnest(range(0, 10000)) AS f) WHERE floor(f / 16) % 5 = 1)
+b AS (SELECT DISTINCT floor(f / 16) AS b FROM (SELECT unnest(range(0, (SELECT count(*) FROM conversations))) AS f) WHERE floor(f / 16) % 5 = 1)
 SELECT DISTINCT conv_id AS document_id FROM s JOIN b ON f < (b.b + 1) * 16 AND b.b * 16 < f + n""")
 def failed_batch_deferral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a chunk in one of the batches 1, 6, 11, ... of sixteen."""
@@ -321,13 +320,18 @@ def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS w, list_distinct(regexp_extract_all(lower(strip_accents(left(text, 400))), '[\\p{{L}}\\p{{N}}]+')) AS g FROM documents)
-SELECT doc_id, round(len(list_intersect(w, g)) / len(w), 6) AS word_recall FROM d WHERE len(w) > 0""")
+WITH a AS (SELECT doc_id, {_TOKENS} AS t FROM documents), b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+sa AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM a), sb AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM b),
+p AS (SELECT DISTINCT doc_id, item_id FROM sa JOIN sb USING (s)),
+q AS (SELECT doc_id, item_id, a.t AS t, b.t AS w, {_SHINGLES.replace("t[", "a.t[").replace("len(t)", "len(a.t)").replace("- 3", "- 2").replace("i+4", "i+3")} AS ts, {_SHINGLES.replace("t[", "b.t[").replace("len(t)", "len(b.t)").replace("- 3", "- 2").replace("i+4", "i+3")} AS ws FROM p JOIN a USING (doc_id) JOIN b USING (item_id))
+SELECT doc_id, item_id, round(len(list_intersect(list_distinct(w), t)) / len(list_distinct(w)), 6) AS word_recall, round(len(list_intersect(ws, ts)) / nullif(len(ws), 0), 6) AS shingle_order FROM q""")
 def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a text's words its first 400 characters hold."""
-    d = _table(spark, sf_dir, "documents").withColumn("got", F.substring("text", 1, 400))
-    found = metrics.share_found(T.search_tokens("text"), T.search_tokens("got"))
-    return d.select("doc_id", F.round(found, 6).alias("word_recall")).filter("word_recall IS NOT NULL")
+    """For documents and benchmark passages that share five words in a row: how many of the passage's words and of its runs of four the document holds."""
+    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    pairs = metrics.overlap(d, b, "doc_id", "item_id").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+    both = pairs.join(d.select("doc_id", F.col("text").alias("got")), "doc_id").join(b.select("item_id", F.col("text").alias("wanted")), "item_id")
+    found = metrics.extraction_quality(both, "got", "wanted")
+    return found.select("doc_id", "item_id", F.round("word_recall", 6).alias("word_recall"), F.round("shingle_order", 6).alias("shingle_order"))
 
 
 @query("""

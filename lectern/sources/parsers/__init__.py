@@ -36,6 +36,10 @@ class Document:
     error: str | None = None
 
 
+class TooLarge(ValueError):
+    """A part of a file unpacks to more than its parser reads (``LARGEST`` bytes): always an error."""
+
+
 def nest(sections: list[Section]) -> list[Section]:
     """Set each section's parent: the nearest earlier one with a heading and a smaller level.
 
@@ -69,7 +73,7 @@ def parse_bytes(fmt: str, raw: bytes) -> Document:
     try:
         return parser_for(fmt)(raw)
     except Exception as e:  # whatever a broken file brings about
-        return Document(error=f"{type(e).__name__}: {e}" if fmt in STRICT else None)
+        return Document(error=f"{type(e).__name__}: {e}" if fmt in STRICT or isinstance(e, TooLarge) else None)
 
 
 SECTIONS = "document_id long, seq int, parent_seq int, level int, heading string, content string, page_physical int, page_logical int, page_section int, page_roman boolean, source_line int, title string, metadata map<string,string>, error string"

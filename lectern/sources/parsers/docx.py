@@ -48,7 +48,7 @@ def parse(raw: bytes) -> Document:
         text, style, breaks = _paragraph(p)
         level = heading_level(style)
         if level is not None and text.strip():
-            found.append((Section(max(level, 1), text.strip(), page_physical=page), []))
+            found.append((Section(level, text.strip(), page_physical=page), []))
         elif text.strip():
             if not found:
                 found.append((Section(page_physical=page), []))
@@ -62,4 +62,4 @@ def parse(raw: bytes) -> Document:
             if (name := PROPERTIES.get(local(e.tag))) and (e.text or "").strip():
                 meta[name] = e.text.strip()
     sections = nest([s for s, _ in found])
-    return Document(sections, meta.get("title") or next((s.heading for s in sections if s.level == 1), None), meta)
+    return Document(sections, meta.get("title") or next((s.heading for s in sections if s.level in (0, 1)), None), meta)

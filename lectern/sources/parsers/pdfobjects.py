@@ -11,6 +11,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
+from . import TooLarge
+
 LARGEST = 64 << 20
 _SPACE = b" \t\r\n\f\0"
 _REGULAR = re.compile(rb"[^\s()<>\[\]{}/%]*")
@@ -158,7 +160,7 @@ def lzw(raw: bytes, early: int = 1) -> bytes:
             last = entry
             width = 9 + sum(code_next + early >= x for x in (512, 1024, 2048))
             if len(out) > LARGEST:
-                raise ValueError("a stream is too large")
+                raise TooLarge(f"a stream unpacks to more than {LARGEST} bytes")
     return bytes(out)
 
 
@@ -189,7 +191,7 @@ def apply_filter(name: str, raw: bytes, params: dict) -> bytes:
     if name in ("FlateDecode", "Fl"):
         z = zlib.decompressobj()
         try:
-            out = z.decompress(raw, LARGEST)
+            out = z.decompress(raw, LARGEST + 1)
         except zlib.error:  # a damaged end: keep what there is
             z, out = zlib.decompressobj(), b""
             for i in range(0, len(raw), 256):
@@ -280,7 +282,7 @@ class Pdf:
             p = self.get(params[k]) if k < len(params) else None
             data = apply_filter(str(self.get(f)), data, {k: self.get(v) for k, v in (p or {}).items()})
             if len(data) > LARGEST:
-                raise ValueError("a stream is too large")
+                raise TooLarge(f"a stream unpacks to more than {LARGEST} bytes")
         return data
 
     def pages(self) -> list[dict]:

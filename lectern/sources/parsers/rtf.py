@@ -12,6 +12,7 @@ SKIPPED = {
     "fonttbl", "colortbl", "stylesheet", "listtable", "listoverridetable", "pict", "object", "header", "headerl", "headerr", "headerf",
     "footer", "footerl", "footerr", "footerf", "footnote", "annotation", "atnid", "atnauthor", "themedata", "colorschememapping",
     "datastore", "latentstyles", "generator", "xmlnstbl", "rsidtbl", "fldinst", "bkmkstart", "bkmkend", "revtbl", "mmathPr", "pgdsctbl",
+    "field", "datafield", "objdata", "nonshppict", "shp", "shpinst", "shprslt", "atnicn",
 }
 INFO = ("title", "subject", "author", "manager", "company", "operator", "category", "keywords", "comment", "doccomm")
 SIGNS = {"emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "tab": "\t", "line": "\n", "emspace": " ", "enspace": " "}

@@ -7,6 +7,8 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+from . import TooLarge
+
 LARGEST = 64 << 20  # bytes of one unpacked entry: more is taken for a bomb
 
 
@@ -39,9 +41,9 @@ class Archive:
         if name not in self.names:
             return None
         if self.zip.getinfo(name).file_size > LARGEST:
-            raise ValueError(f"{name} is too large")
+            raise TooLarge(f"{name} unpacks to more than {LARGEST} bytes")
         with self.zip.open(name) as f:
             out = f.read(LARGEST + 1)
         if len(out) > LARGEST:
-            raise ValueError(f"{name} is too large")
+            raise TooLarge(f"{name} unpacks to more than {LARGEST} bytes")
         return out
