@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import aggregates, fusion, lexical, metrics, updates, vector
+from .sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def query(sql: str | None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -52,7 +57,7 @@ def _count(word: str) -> str:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, q: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     top = lexical.bm25(docs, q, {"text": "text"}, "doc_id", 10)
     found = docs.select("doc_id", "source", "lang").join(F.broadcast(top), F.col("doc_id") == F.col("id"))  # ten rows
     return found.select("doc_id", "source", "lang", F.round("score", 6).alias("score"))
@@ -93,7 +98,7 @@ WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), u AS (SELECT doc_id,
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM u GROUP BY term""")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term."""
-    return lexical.term_statistics(_table(spark, sf_dir, "documents"), ["text"])
+    return lexical.term_statistics(_texts(spark, sf_dir), ["text"])
 
 
 def _probe(vectors: DataFrame) -> list[float]:
@@ -155,7 +160,7 @@ SELECT d.doc_id, d.lang, d.source, round(f.score, 9) AS score FROM f JOIN docume
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, mode: str, only: str | None = None) -> DataFrame:
-    docs, v = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings")
+    docs, v = _texts(spark, sf_dir), _table(spark, sf_dir, "embeddings")
     o = fusion.SearchOptions(mode=mode, limit=10)
     text = None if mode == "similar" else lexical.bm25(docs, "that", {"text": "text"}, "doc_id", o.budget)
     near = None if mode == "exact" else vector.nearest(v, _probe(v), o.budget, "vec_id")
@@ -196,7 +201,7 @@ def heading_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS chunks, (SELECT CAST(coalesce(max(n_chars), 0) AS BIGINT) FROM documents) AS last_indexed")
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.corpus_stats(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"), "n_chars").select("documents", "chunks", "last_indexed")
+    return aggregates.corpus_stats(_texts(spark, sf_dir), _table(spark, sf_dir, "conversations"), "n_chars").select("documents", "chunks", "last_indexed")
 
 
 _OUTCOME = "CASE WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 11 = 0 THEN 'errors' WHEN doc_id % 13 = 0 THEN 'deferred' ELSE 'indexed' END"
@@ -204,12 +209,12 @@ _OUTCOME = "CASE WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 11 = 0 THEN 'e
 
 @query(f"WITH o AS (SELECT {_OUTCOME} AS o FROM documents) SELECT " + ", ".join(f"count(*) FILTER (WHERE o = '{x}') AS {x}" for x in ("indexed", "skipped", "errors", "deferred")) + " FROM o")
 def outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.outcome_tally(_table(spark, sf_dir, "documents").select(F.expr(_OUTCOME).alias("o")), "o")
+    return aggregates.outcome_tally(_texts(spark, sf_dir).select(F.expr(_OUTCOME).alias("o")), "o")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as they are, and as an earlier run saw them: every seventh absent, every fifth with other content."""
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), T.content_hash("text").alias("content_hash"), "doc_id")
+    docs = _texts(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), T.content_hash("text").alias("content_hash"), "doc_id")
     old = docs.filter("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
     return docs, old
 
@@ -250,30 +255,30 @@ def failed_batch_deferral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
+    return _texts(spark, sf_dir).select("doc_id", T.content_hash("text").alias("content_hash"))
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(ceil(octet_length(encode(text)) * 0.25) AS BIGINT) AS tokens FROM documents")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.utf8_bytes("text").alias("bytes"), T.token_estimate("text").alias("tokens"))
+    return _texts(spark, sf_dir).select("doc_id", T.utf8_bytes("text").alias("bytes"), T.token_estimate("text").alias("tokens"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), ' ') AS text FROM documents")
 def reflow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts have no blank lines, so each is one paragraph."""
-    return _table(spark, sf_dir, "documents").select("doc_id", T.reflow("text").alias("text"))
+    return _texts(spark, sf_dir).select("doc_id", T.reflow("text").alias("text"))
 
 
 @query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\n{2,}'), lambda x: NOT regexp_matches(x, '^[ \\t\\r\\n]*$'))) AS BIGINT) AS n FROM documents")
 def para_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.paragraphs("text")).cast("long").alias("n"))
+    return _texts(spark, sf_dir).select("doc_id", F.size(T.paragraphs("text")).cast("long").alias("n"))
 
 
 _LINES = "WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM l)"
 
 
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines("text")).alias("pos", "line"))
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("pos", "line"))
 
 
 @query(_LINES + " SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM u")
@@ -315,7 +320,7 @@ WITH a AS (SELECT doc_id, {_TOKENS} AS t FROM documents), b AS (SELECT item_id,
 sa AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM a), lb AS (SELECT item_id, {_SHINGLES} AS l FROM b), sb AS (SELECT item_id, len(l) AS n, unnest(l) AS s FROM lb)
 SELECT doc_id, item_id, count(*) AS shared, round(count(*) / max(n), 6) AS share FROM sa JOIN sb USING (s) GROUP BY 1, 2""")
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    found = metrics.overlap(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.round("share", 6).alias("share"))
 
 
@@ -327,7 +332,7 @@ q AS (SELECT doc_id, item_id, a.t AS t, b.t AS w, {_SHINGLES.replace("t[", "a.t[
 SELECT doc_id, item_id, round(len(list_intersect(list_distinct(w), t)) / len(list_distinct(w)), 6) AS word_recall, round(len(list_intersect(ws, ts)) / nullif(len(ws), 0), 6) AS shingle_order FROM q""")
 def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For documents and benchmark passages that share five words in a row: how many of the passage's words and of its runs of four the document holds."""
-    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    d, b = _texts(spark, sf_dir), _table(spark, sf_dir, "benchmark")
     pairs = metrics.overlap(d, b, "doc_id", "item_id").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
     both = pairs.join(d.select("doc_id", F.col("text").alias("got")), "doc_id").join(b.select("item_id", F.col("text").alias("wanted")), "item_id")
     found = metrics.extraction_quality(both, "got", "wanted")
@@ -395,7 +400,7 @@ def config_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS documents, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(ceil(octet_length(encode(text)) * 0.25)) AS BIGINT) AS tokens FROM documents GROUP BY source")
 def status_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = _texts(spark, sf_dir)
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(T.utf8_bytes("text")).alias("bytes"), F.sum(T.token_estimate("text")).alias("tokens"))
 
 
@@ -404,12 +409,12 @@ WITH q AS (SELECT doc_id, octet_length(encode(text)) AS n, length(regexp_replace
 p AS (SELECT doc_id, CASE WHEN n = 0 THEN 100 ELSE floor(a * 100 / n) END AS alpha, CASE WHEN n = 0 THEN 0 ELSE floor(b * 100 / n) END AS bad FROM q)
 SELECT doc_id, CAST(alpha AS INTEGER) AS alpha_percent, CAST(bad AS INTEGER) AS bad_percent, CAST(CASE WHEN bad <= 5 THEN 100 WHEN bad >= 33 THEN 0 ELSE 100 - 3 * bad END AS INTEGER) AS cap FROM p""")
 def quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.alpha_percent("text").alias("alpha_percent"), T.bad_percent("text").alias("bad_percent"), T.quality_cap("text").cast("int").alias("cap"))
+    return _texts(spark, sf_dir).select("doc_id", T.alpha_percent("text").alias("alpha_percent"), T.bad_percent("text").alias("bad_percent"), T.quality_cap("text").cast("int").alias("cap"))
 
 
 @query("SELECT doc_id, translate(left(text, 255), chr(10) || chr(9), '  ') AS snippet FROM documents")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.snippet("text").alias("snippet"))
+    return _texts(spark, sf_dir).select("doc_id", T.snippet("text").alias("snippet"))
 
 
 @query("SELECT path FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'notes/' || page_id || '.txt' WHEN 1 THEN 'keep.txt' WHEN 2 THEN 'drafts/' || page_id || '.md' WHEN 3 THEN 'sub/build/' || page_id || '.md' ELSE 'build/' || page_id || '.md' END AS path FROM pages) WHERE page_id % 5 IN (1, 3)")
@@ -449,7 +454,7 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.parsers import parse
 
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("txt").alias("format"), F.col("text").cast("binary").alias("content"))
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("txt").alias("format"), F.col("text").cast("binary").alias("content"))
     return parse(docs).select("document_id", "seq", "level", "heading", "content", "source_line")
 
 
@@ -458,7 +463,7 @@ def force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in chunks of at most 200 tokens."""
     from .operators.chunk import ChunkOptions, chunk
 
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), F.lit(None).cast("int").alias("parent_seq"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("content"))
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), F.lit(None).cast("int").alias("parent_seq"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("content"))
     return chunk(docs, ChunkOptions(max_tokens=200, min_tokens=20)).select("document_id", "chunk_index", "text", "start_byte", "end_byte")
 
 
@@ -472,18 +477,18 @@ def _word_list() -> object:
 def dictionary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.dictionary import normalize
 
-    return _table(spark, sf_dir, "documents").select("doc_id", normalize(spark, F.col("text"), _word_list()).alias("text"))
+    return _texts(spark, sf_dir).select("doc_id", normalize(spark, F.col("text"), _word_list()).alias("text"))
 
 
 @query(None)
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.dictionary import text_quality as quality
 
-    return _table(spark, sf_dir, "documents").select("doc_id", quality(spark, F.col("text"), _word_list()).alias("quality"))
+    return _texts(spark, sf_dir).select("doc_id", quality(spark, F.col("text"), _word_list()).alias("quality"))
 
 
 @query(None)
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.embedder import HashEmbedder, embed
 
-    return embed(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), HashEmbedder(16))
+    return embed(_texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), HashEmbedder(16))

@@ -49,3 +49,12 @@ def one_document(spark: SparkSession, content: bytes, fmt: str, path: str = "-")
         raise ValueError(f"unsupported format: {fmt}")
     df = spark.createDataFrame([(path, fmt, bytearray(content))], "path string, format string, content binary")
     return df.select("path", "format", content_hash("content").alias("content_hash"), "content")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores, where its files have so few splits that half of the cores would wait.
+
+    For work that costs far more than its input's way over the network: a few files of text.  Only for a plain
+    scan, as asking for partitions would run the exchanges of anything else."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
