@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import write_table
+
 
 def corpus_stats(documents: DataFrame, chunks: DataFrame, when_col: str = "indexed_at") -> DataFrame:
     """One row: documents, chunks, the latest time of indexing (0 if there is none)."""
@@ -45,6 +47,19 @@ def coverage(rows: DataFrame, group_cols: list[str], low: Column, high: Column,
     return rows.select(*group_cols, F.explode(F.sequence(clip(low), clip(high))).alias("bin")).groupBy(*group_cols, "bin").agg(F.count("*").alias("n"))
 
 
+def sum_before(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows that come earlier by ``order``, whose values differ.
+
+    Rows are dealt in ranges and summed within each; one row a range then gives where it begins, so no task
+    sees the whole table.  The ranges are written first, for a range dealt again would cut elsewhere.
+    """
+    dealt = write_table(rows.withColumn("_v", value.cast("long")).repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    begins = dealt.groupBy("_range").agg(F.sum("_v").alias("_v")).select("_range", F.coalesce(F.sum("_v").over(earlier(Window.orderBy("_range"))), F.lit(0)).alias("_from"))
+    inner = F.coalesce(F.sum("_v").over(earlier(Window.partitionBy("_range").orderBy(order))), F.lit(0))
+    return dealt.withColumn(name, inner).join(F.broadcast(begins), "_range").withColumn(name, F.col(name) + F.col("_from")).drop("_range", "_v", "_from")
+
+
 def as_of(rows: DataFrame, ranges: DataFrame, at: str, start: str, keep: list[str]) -> DataFrame:
     """``rows`` with the columns ``keep`` of the last range that starts at or before them.
 

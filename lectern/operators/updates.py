@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import sum_before
+
 
 def changes(incoming: DataFrame, documents: DataFrame) -> DataFrame:
     """``incoming`` (path, content_hash, ...) with ``action``: new, changed or unchanged."""
@@ -45,7 +47,6 @@ def deferred_documents(chunks: DataFrame, failed_batches: DataFrame, batch: int
     batch.  ``chunks`` has chunk counts by document; the running total gives each document an
     interval of chunk numbers, and a document is deferred if that overlaps a failed batch's.
     """
-    before = Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
-    spans = chunks.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    spans = sum_before(chunks.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", F.col("n"), "first")
     touched = spans.select("document_id", F.explode(F.sequence(F.floor(F.col("first") / batch), F.floor((F.col("first") + F.col("n") - 1) / batch))).alias("batch"))
     return touched.join(failed_batches.select("batch").distinct(), "batch", "left_semi").select("document_id").distinct()

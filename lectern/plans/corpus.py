@@ -1,21 +1,23 @@
 """A corpus as snapshots of Parquet tables: index, update, search, remove, status.
 
-A write makes a whole new snapshot folder and then moves the pointer to it, so a reader sees
-the old corpus or the new one, and a failed run leaves the old one.  Documents whose
-vectors could not be had are deferred: their old rows stay, and the next run tries again.
+A snapshot is a manifest that names the data folder of each table.  A write makes new folders for
+the tables that change, keeps the others', and takes the next number last, so a reader sees the old
+corpus or the new one, and a failed run leaves the old one.  Documents whose vectors could not be
+had are deferred: their old rows stay, and the next run tries again.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fusion, lexical, updates, vector
-from ..operators.aggregates import corpus_stats
+from ..operators.aggregates import corpus_stats, sum_before
 from ..operators.chunk import ChunkOptions, chunk
 from ..sources.embedder import embed
 from ..sources.files import scan_files
@@ -62,8 +64,8 @@ class Corpus:
             empty = {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
             c._commit(empty)
         seeds = {"schema_version": VERSION} | (config or {})
-        missing = updates.put_if_absent(c.table("config"), spark.createDataFrame(sorted(seeds.items()), TABLES["config"]), ["key"])
-        c._commit({"config": missing})
+        if c.table("config").filter(F.col("key").isin(*seeds)).count() < len(seeds):
+            c._commit({"config": updates.put_if_absent(c.table("config"), spark.createDataFrame(sorted(seeds.items()), TABLES["config"]), ["key"])})
         return c
 
     # -- snapshots -----------------------------------------------------------
@@ -77,28 +79,46 @@ class Corpus:
         done = sorted(n for n in names if not n.startswith("_"))
         return f"{self.path}/snapshots/{done[-1]}" if done else None
 
+    def _read(self, snapshot: str) -> dict[str, str]:
+        """Table name -> name of its data folder."""
+        stream = self._fs.open(self._Path(f"{snapshot}/manifest.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.snapshot()}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{self._read(self.snapshot())[name]}")
 
     def _commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write the changed tables, carry the others over, and take the final name."""
+        """Write the changed tables, name the folders of the others, and take the next number."""
         old = self.snapshot()
-        n = int(old.rsplit("/", 1)[1].split("-")[0]) + 1 if old else 0
-        temp = f"{self.path}/snapshots/_{uuid.uuid4().hex}"
-        for name, schema in TABLES.items():
-            df = changed.get(name)
-            df = df if df is not None else self.table(name)
-            df.select(*(c.split(" ")[0] for c in schema.split(", "))).write.parquet(f"{temp}/{name}")
-        if not self._fs.rename(self._Path(temp), self._Path(f"{self.path}/snapshots/{n:012d}")):
+        n = int(old.rsplit("/", 1)[1]) + 1 if old else 0
+        manifest = self._read(old) if old else {}
+        for name, df in changed.items():
+            manifest[name] = f"{name}-{uuid.uuid4().hex}"
+            df.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.parquet(f"{self.path}/data/{manifest[name]}")
+        temp, final = self._Path(f"{self.path}/snapshots/_{uuid.uuid4().hex}"), self._Path(f"{self.path}/snapshots/{n:012d}")
+        stream = self._fs.create(self._Path(f"{temp}/manifest.json"))
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(final) or not self._fs.rename(temp, final):
             raise RuntimeError("another writer has committed")
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest snapshots, and what failed runs left."""
-        root = self._Path(f"{self.path}/snapshots")
+        """Delete all but the newest snapshots, and data that none of those name (no writer may be at work)."""
+        keep = max(keep, 1)
+        root, data = self._Path(f"{self.path}/snapshots"), self._Path(f"{self.path}/data")
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(root))
         done = [n for n in names if not n.startswith("_")]
+        used = {d for n in done[-keep:] for d in self._read(f"{self.path}/snapshots/{n}").values()}
         for n in [*done[:-keep], *(n for n in names if n.startswith("_"))]:
             self._fs.delete(self._Path(f"{self.path}/snapshots/{n}"), True)
+        for n in [s.getPath().getName() for s in self._fs.listStatus(data)]:
+            if n not in used:
+                self._fs.delete(self._Path(f"{self.path}/data/{n}"), True)
 
     # -- writing -------------------------------------------------------------
 
@@ -114,17 +134,16 @@ class Corpus:
         marked = updates.changes(files, documents)
         todo = marked.filter("action <> 'unchanged'")
         first = documents.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        # ids follow the order of paths; one narrow column is ordered, and contents stay where they are
-        numbered = todo.select("path", "content_hash", "format").withColumn("document_id", F.row_number().over(Window.orderBy("path")) + F.lit(first))
-        numbered = write_table(numbered.withColumn("document_id", F.col("document_id").cast("long")), "numbered")
+        # ids follow the order of paths; contents stay where they are
+        numbered = sum_before(todo.select("path", "content_hash", "format"), "path", F.lit(1), "document_id")
+        numbered = write_table(numbered.withColumn("document_id", (F.col("document_id") + F.lit(first + 1)).cast("long")), "numbered")
         sections = write_table(parse(todo.join(numbered.select("path", "document_id"), "path")), "sections")
-        heads = sections.groupBy("document_id").agg(F.first("title").alias("title"), F.first("error").alias("error"))
+        heads = sections.groupBy("document_id").agg(F.first("title").alias("title"), F.first(F.to_json("metadata")).alias("metadata"), F.first("error").alias("error"))
         broken = heads.filter("error IS NOT NULL").select("document_id")
         made = chunk(sections.filter("seq IS NOT NULL"), options)
         base = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        before = Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
         made = write_table(made, "chunks")
-        counts = made.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + F.lit(base + 1))
+        counts = sum_before(made.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", F.col("n"), "first").withColumn("first", F.col("first") + F.lit(base + 1))
         made = write_table(made.join(counts.select("document_id", "first"), "document_id").withColumn("id", (F.col("first") + F.col("chunk_index")).cast("long")).drop("first"), "chunks")
         if provider is not None:
             got = write_table(embed(made.select(F.col("id").alias("chunk_id"), "text"), provider), "vectors")
@@ -135,7 +154,7 @@ class Corpus:
         good = write_table(numbered.join(left_out, "document_id", "left_anti"), "good")
         stamp = int(time.time()) if now is None else now
         kept_docs, kept_chunks, kept_vectors = updates.cascade(documents, chunks, vectors, good.select("path"))
-        new_docs = good.join(heads.select("document_id", "title"), "document_id", "left").select(F.col("document_id").alias("id"), "path", "format", "title", "content_hash", F.lit(None).cast("string").alias("metadata"), F.lit(stamp).cast("long").alias("indexed_at"))
+        new_docs = good.join(heads.select("document_id", "title", "metadata"), "document_id", "left").select(F.col("document_id").alias("id"), "path", "format", "title", "content_hash", F.nullif("metadata", F.lit("{}")).alias("metadata"), F.lit(stamp).cast("long").alias("indexed_at"))
         new_chunks = made.join(good.select("document_id"), "document_id", "left_semi")
         changed = {"documents": kept_docs.unionByName(new_docs), "chunks": kept_chunks.select(*chunks.columns).unionByName(new_chunks.select(*chunks.columns))}
         if got is not None:
