@@ -16,10 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dictionary import Words, normalize
+from ..functions.text import drop_soft_hyphens, repair_controls
 from ..operators import fusion, lexical, updates, vector
 from ..operators.aggregates import corpus_stats, sum_before
 from ..operators.chunk import ChunkOptions, chunk
-from ..sources.embedder import embed
+from ..scratch import write_table
+from ..sources.embedder import dimension, embed
 from ..sources.files import scan_files
 from ..sources.parsers import parse
 
@@ -122,14 +125,19 @@ class Corpus:
 
     # -- writing -------------------------------------------------------------
 
-    def index(self, root: str, provider=None, options: ChunkOptions | None = None, now: int | None = None) -> Tally:
+    def index(self, root: str, provider=None, options: ChunkOptions | None = None, now: int | None = None, words: Words | None = None) -> Tally:
         """Bring the corpus up to date with the files below ``root``: unchanged ones are skipped
-        before they are parsed, changed ones replaced; files that vanished stay."""
-        return self.index_files(scan_files(self.spark, root), provider, options, now)
+        before they are parsed, changed ones replaced; files that vanished stay.
 
-    def index_files(self, files: DataFrame, provider=None, options: ChunkOptions | None = None, now: int | None = None) -> Tally:
-        from ..scratch import write_table
+        Headings and bodies are repaired before they are cut: ligatures, control characters and soft hyphens
+        always, split words where a list of words is given."""
+        return self.index_files(scan_files(self.spark, root), provider, options, now, words)
 
+    def index_files(self, files: DataFrame, provider=None, options: ChunkOptions | None = None, now: int | None = None, words: Words | None = None) -> Tally:
+        dim = dimension(provider) if provider is not None else None
+        known = self.config("embedding_dim")
+        if dim is not None and known is not None and int(known) != dim:
+            raise ValueError(f"the corpus has vectors of {known} numbers, the provider's have {dim}")
         documents, chunks, vectors = (self.table(t) for t in ("documents", "chunks", "embeddings"))
         marked = updates.changes(files, documents)
         todo = marked.filter("action <> 'unchanged'")
@@ -137,7 +145,9 @@ class Corpus:
         # ids follow the order of paths; contents stay where they are
         numbered = sum_before(todo.select("path", "content_hash", "format"), "path", F.lit(1), "document_id")
         numbered = write_table(numbered.withColumn("document_id", (F.col("document_id") + F.lit(first + 1)).cast("long")), "numbered")
-        sections = write_table(parse(todo.join(numbered.select("path", "document_id"), "path")), "sections")
+        mend = lambda c: drop_soft_hyphens(repair_controls(c)) if words is None else normalize(self.spark, c, words)
+        parsed = parse(todo.join(numbered.select("path", "document_id"), "path"))
+        sections = write_table(parsed.withColumns({"heading": mend("heading"), "content": mend("content")}), "sections")
         heads = sections.groupBy("document_id").agg(F.first("title").alias("title"), F.first(F.to_json("metadata")).alias("metadata"), F.first("error").alias("error"))
         broken = heads.filter("error IS NOT NULL").select("document_id")
         made = chunk(sections.filter("seq IS NOT NULL"), options)
@@ -161,6 +171,8 @@ class Corpus:
             changed["embeddings"] = kept_vectors.unionByName(got.filter("NOT failed").join(new_chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "embedding"))
         else:
             changed["embeddings"] = kept_vectors
+        if dim is not None and known is None:
+            changed["config"] = self._with_config("embedding_dim", str(dim))
         tally = Tally(good.count(), marked.filter("action = 'unchanged'").count(), broken.count(), deferred.count())
         self._commit(changed)
         return tally
@@ -173,8 +185,11 @@ class Corpus:
         self._commit(dict(zip(("documents", "chunks", "embeddings"), updates.cascade(documents, self.table("chunks"), self.table("embeddings"), gone))))
 
     def set_config(self, key: str, value: str) -> None:
+        self._commit({"config": self._with_config(key, value)})
+
+    def _with_config(self, key: str, value: str) -> DataFrame:
         old = self.table("config").filter(F.col("key") != key)
-        self._commit({"config": old.unionAll(self.spark.createDataFrame([(key, value)], TABLES["config"]))})
+        return old.unionAll(self.spark.createDataFrame([(key, value)], TABLES["config"]))
 
     # -- reading -------------------------------------------------------------
 

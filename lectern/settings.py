@@ -29,10 +29,11 @@ def expand(text: str, env: Mapping[str, str], depth: int = 10) -> str:
     return _REF.sub(one, text)
 
 
-def read_file(path: str | Path, env: Mapping[str, str]) -> dict[str, str]:
+def read_file(path: str | Path, env: Mapping[str, str] | None) -> dict[str, str]:
+    """Settings of a file; references stay as they are if there is no environment."""
     p = configparser.ConfigParser(interpolation=None)
     p.read(path)
-    return {f"{s}.{k}": expand(v, env) for s in p.sections() for k, v in p.items(s)}
+    return {f"{s}.{k}": v if env is None else expand(v, env) for s in p.sections() for k, v in p.items(s)}
 
 
 class Settings:

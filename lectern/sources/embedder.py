@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import socket
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -85,17 +87,21 @@ class HttpEmbedder:
     url: str
     model: str
     timeout: float = 120.0
+    key: str = ""
 
     def available(self) -> bool:
+        """Whether something takes a connection there within two seconds."""
         try:
-            self.embed(["probe"])
+            at = urllib.parse.urlsplit(self.url)
+            socket.create_connection((at.hostname or "", at.port or (443 if at.scheme == "https" else 80)), 2).close()
             return True
-        except EmbeddingError:
+        except (OSError, ValueError):
             return False
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         body = json.dumps({"model": self.model, "input": texts}).encode()
-        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        request = urllib.request.Request(self.url, body, headers)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 if r.status != 200:
@@ -115,6 +121,23 @@ def first_available(providers: Iterable) -> object | None:
     return next((p for p in providers if p.available()), None)
 
 
+#: Where services listen by default.  Fixed values.
+DEFAULT_URLS = ("http://127.0.0.1:11434/api/embed", "http://127.0.0.1:8000/v1/embeddings")
+
+
+def usual_providers(url: str = "", model: str = "", key: str = "") -> list[HttpEmbedder]:
+    """The configured service, if any, then those at the usual places of this machine (without the key)."""
+    return ([HttpEmbedder(url, model, key=key)] if url else []) + [HttpEmbedder(u, model) for u in DEFAULT_URLS if u != url]
+
+
+def dimension(provider) -> int | None:
+    """The length of the provider's vectors; None if it has no answer."""
+    try:
+        return len(provider.embed(["dimension probe"])[0])
+    except (EmbeddingError, IndexError):
+        return None
+
+
 def embed(chunks: DataFrame, provider, id_col: str = "chunk_id", text_col: str = "text", batch: int = BATCH, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(chunk_id, embedding, failed): vectors of all chunks; a batch that fails for good has nulls and ``failed``."""
 

@@ -241,6 +241,23 @@ def line_text(line: list[Run]) -> str:
     return " ".join(out.split())
 
 
+# Headers of the parts of a table of authorities.
+AUTHORITY_HEADERS = (
+    "Constitutional Provisions", "Statutory Provisions", "Legislative Materials", "Legislative History", "Table of Authorities",
+    "Other Authorities", "Federal Cases", "State Cases", "Authorities", "Regulations", "Treatises", "Miscellaneous", "Statutes", "Cases", "Rules",
+)
+_AUTHORITY = re.compile(rf"^((?:{'|'.join(AUTHORITY_HEADERS)}):?)[ \t]+(?=(?-i:[A-Z0-9]))", re.I | re.M)
+_LEADERS = re.compile(r"(?:(?<![ \t])[ \t]+)?\.(?:[ \t]*\.){4,}[ \t]*")
+
+
+def part_entries(text: str) -> str:
+    """Dot leaders become line feeds, and a header of a table of authorities gets a line of its own."""
+    text, n = _LEADERS.sub("\n", text), 1
+    while n:  # an entry may begin with a header itself
+        text, n = _AUTHORITY.subn(r"\1\n", text)
+    return text
+
+
 def sections_of(pages: list[list[list[Run]]]) -> list[Section]:
     weight: Counter = Counter()
     for lines in pages:
@@ -289,6 +306,8 @@ def sections_of(pages: list[list[list[Run]]]) -> list[Section]:
                 else:
                     s.content += (" " if wraps or (last is not None and gap <= 0) else "\n") + t
             last = line
+    for s in out:
+        s.content = part_entries(s.content)
     return out
 
 
