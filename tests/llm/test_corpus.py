@@ -138,6 +138,59 @@ def test_interpolation_beats_base(spark):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_scores(data, held=2, deleted=3):
+    """Scores by plain dictionaries and an EM over every single held-out token."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    texts = [(fold(i), [*t.lower().split(), None]) for i, t in data]
+
+    def counts(folds):
+        some = [ts for f, ts in texts if f in folds]
+        ones = Counter(t for ts in some for t in ts)
+        return ones, Counter(p for ts in some for p in zip(["<s>", *ts], ts)), len(some)
+
+    c1, c2, starts = counts(set(range(7)) - {held})
+    d1, d2, less = counts(set(range(7)) - {held, deleted})
+    n, v, m = sum(c1.values()), len(c1), sum(d1.values())
+    bucket = lambda c: math.ceil(math.log2(c + 1)) if c else 0
+    events = defaultdict(list)
+    for f, ts in texts:
+        for before, t in zip(["<s>", *ts], ts) if f == deleted else ():
+            context = less if before == "<s>" else d1[before]
+            p2 = d2[before, t] / context if context else 0.0
+            events[-1 if before == "<s>" else bucket(context)].append((min(p2, 1.0), d1[t] / m, 1 / (v + 1)))
+    weights = {}
+    for b, ps in events.items():
+        ps, w = np.array(ps), np.array([0.4, 0.4, 0.2])
+        for _ in range(40):
+            part = w * ps
+            w = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        w = np.maximum(w, 1e-6)
+        weights[b] = w / w.sum()
+
+    def of(b):
+        lower = [x for x in weights if 0 < x < b]
+        return weights[b] if b in weights else weights[max(lower)] if lower else weights[max(weights)] if b else (0.0, 0.5, 0.5)
+
+    out = {}
+    for (i, _), (_, ts) in zip(data, texts):
+        total = 0.0
+        for before, t in zip(["<s>", *ts], ts):
+            context = starts if before == "<s>" else c1[before]
+            w = weights[-1] if before == "<s>" else of(bucket(context))
+            total += math.log10(w[0] * c2[before, t] / max(1, context) + w[1] * c1[t] / n + w[2] / (v + 1))
+        out[i] = total
+    return out
+
+
+def test_interpolation_scores_by_plain_counts(spark):
+    """Histogram bins move a weight a little; the scores stay within half a hundredth."""
+    draw = np.random.default_rng(5)
+    data = [(i, " ".join(f"w{x}" for x in draw.zipf(1.4, 70) % 500)) for i in range(250)]
+    want = plain_scores(data)
+    got = interpolation.score(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == len(data) and all(abs(r["score"] - want[r["doc_id"]]) <= 0.005 * abs(want[r["doc_id"]]) for r in got)
+
+
 def test_weights_are_learned():
     bins = np.array([[3, 0, 10, 90], [3, 10**6, 10, 10]])
     l2, l1, l0 = interpolation.learn(bins, 1000, 100, 10)[3]

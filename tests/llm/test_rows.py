@@ -46,7 +46,17 @@ def test_quality_rules(docs, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base
         assert r["base_failed"] == (base[0] < 50 or 100 * base[4] > 50 * base[0])
         assert not (r["base_failed"] and r["kept"])
-        assert r["n_tokens"] == len(sp.encode(text or ""))
+        ids = sp.encode(text or "")
+        n, count = len(ids), Counter(ids)
+        assert r["n_tokens"] == n
+        spelt = sum(sp.is_byte(x) and sp.id_to_piece(x) not in ("<0x09>", "<0x0A>", "<0x0D>") for x in ids)
+        plain = (len(text) / n, spelt / n, -sum(k / n * math.log2(k / n) for k in count.values())) if n else (0, 0, 0)
+        assert (r["chars_per_token"], r["byte_share"], r["entropy"]) == pytest.approx(plain, abs=1e-9)
+        band = quality_rules.SCRIPTS[quality_rules.script_of((text or "").encode())]
+        good = n > 0 and band.least_chars <= plain[0] <= band.most_chars and plain[1] <= band.most_bytes and plain[2] >= band.entropy_floor(n)
+        if i is None or i % 3 == 0 or not r["base_failed"]:
+            language = "it" if i is None or i % 3 else None
+            assert language not in quality_rules.LANGUAGES and r["kept"] == (good and not r["base_failed"])
     kept = sorted(r["doc_id"] for r in got if r["kept"])
     out = quality_rules.keep_good(docs)
     assert out.schema == docs.schema and sorted(r["doc_id"] for r in out.collect()) == kept
@@ -176,6 +186,17 @@ def test_compression(spark, docs, empty):
     assert compression.score(docs, model).count() == len(rows()) and compression.score(empty, model).count() == 0
 
 
+def test_compression_on_held_out_labels(spark):
+    """Order and decisions on the fold that the model never sees."""
+    got = [r for r in compression.op2_compression_classifier(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    pairs = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in got if truth.get(r["doc_id"]) in (0, 1)]
+    good, bad = ([s for s, _, q in pairs if q == x] for x in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc >= 0.9 and sum(p == q for _, p, q in pairs) >= 0.85 * len(pairs)
+
+
 def test_compression_keeps_the_shares(spark):
     """A sample of equal classes gives the probabilities of the labels' true shares."""
     r = random.Random(6)
