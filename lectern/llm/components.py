@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is joins and partially aggregated minima, so a hub with a third of all edges
-is never gathered; each round's edges go to a table in the shared folder, which cuts the
-lineage.  Nothing but two counts reaches the driver.
+Every round is joins and partially aggregated minima; each round's edges go to a table in the
+shared folder, which cuts the lineage.  Nothing but two counts reaches the driver.  Where the minima
+are too many to be broadcast, a hub's edges meet in one task of the join, or in the parts that the
+adaptive skew join makes of it; they stream by and are not held.
 """
 
 from __future__ import annotations
