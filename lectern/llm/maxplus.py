@@ -14,8 +14,9 @@ on nothing else, so segments are encoded once and cached, and a chunk with a cut
 matrix of rank one: its left edge, plus its right edge.
 
 Scores are integers with a term from the piece's own hash below them, so only paths with the
-same pieces in another order tie (runs of one character); which of those is taken may depend
-on where chunks end, the sum does not.  Characters without a piece are spelt as byte pieces.  Decoding joins the pieces: encoding and decoding give back any text.
+same pieces in another order tie (runs of one character, or of one pattern).  Of those the path with the least
+sum of starts is taken: matrices carry that sum beside the score.  Moving a text moves
+all such sums alike, so the ids depend neither on where chunks end nor on where a segment stands.  Characters without a piece are spelt as byte pieces.  Decoding joins the pieces: encoding and decoding give back any text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import partitions, table
 from .vocab import LONGEST, vocabulary_path
 
 NEVER = -(1 << 61)
+LEAST = np.iinfo(np.int64).min
+SHIFT = 62  # a path's weight: its score, then (below it) less its sum of starts, which no text of 2 GB brings to 1 << 61
 CHUNK = 16_384  # characters; more than the longest piece
 SEGMENTS = 800_000  # cached by a worker, some 200 MB
 GROUP = 64  # chunks multiplied by one task
@@ -108,15 +111,19 @@ class Lattice:
         if spelt:
             yield i + 1, -1, self.spelt
 
-    def forward(self, s: str, begin: int, stop: int, end: int) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
-        """Best scores from ``begin`` to each place, by pieces that start before ``stop`` and end by ``end``; and the last piece."""
+    def forward(self, s: str, begin: int, stop: int, end: int, base: int = 0) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+        """Best weights from ``begin`` to each place, by pieces that start before ``stop`` and end by ``end``; and the last piece.
+
+        ``base`` is where ``s`` starts in its document."""
         best, back = {begin: 0}, {}
         for i in range(begin, stop):
             if (at := best.get(i)) is None:
                 continue
+            at -= base + i
             for j, piece, score in self.steps(s, i, end):
-                if at + score > best.get(j, NEVER):
-                    best[j], back[j] = at + score, (i, piece)
+                x = at + (score << SHIFT)
+                if j not in best or x > best[j]:
+                    best[j], back[j] = x, (i, piece)
         return best, back
 
     def trace(self, s: str, back: dict[int, tuple[int, int]], begin: int, end: int) -> bytes:
@@ -130,13 +137,13 @@ class Lattice:
     def best(self, s: str) -> bytes:
         """Ids of a whole segment: :meth:`forward` and :meth:`trace` in one, for the many short ones."""
         n, get, longest = len(s), self.trie.get, self.longest
-        top, back = [NEVER] * (n + 1), [(0, 0)] * (n + 1)
+        top, back, starts = [NEVER] * (n + 1), [(0, 0)] * (n + 1), [0] * (n + 1)
         top[0] = 0
         for i in range(n):
             at = top[i]
             if at == NEVER:
                 continue
-            single = False
+            single, sum_of = False, starts[i] + i
             for j in range(i + 1, min(n, i + longest) + 1):
                 hit = get(s[i:j], 0)
                 if hit is None:
@@ -145,10 +152,10 @@ class Lattice:
                     break
                 single |= j == i + 1
                 x = at + hit[1]
-                if x > top[j]:
-                    top[j], back[j] = x, (i, hit[0])
+                if x > top[j] or x == top[j] and sum_of < starts[j]:
+                    top[j], back[j], starts[j] = x, (i, hit[0]), sum_of
             if not single and at + self.spelt > top[i + 1]:
-                top[i + 1], back[i + 1] = at + self.spelt, (i, -1)
+                top[i + 1], back[i + 1], starts[i + 1] = at + self.spelt, (i, -1), sum_of
         out: list[int] = []
         while n:
             i, piece = back[n]
@@ -180,30 +187,31 @@ class Lattice:
         first = next((p for p in range(1, n + 1) if sure(p)), None)
         return None if first is None else (first, next(p for p in range(n, 0, -1) if sure(p)))
 
-    def matrix(self, s: str, n: int) -> np.ndarray:
-        """Best scores from each entry to each exit state of a chunk of ``n`` characters and what follows, up to a constant."""
+    def matrix(self, s: str, n: int, base: int = 0) -> np.ndarray:
+        """Best weights from each entry to each exit state of a chunk of ``n`` characters and what follows, up to
+        a constant: scores, and less the sums of starts.  ``base`` is where the chunk starts in its document."""
         m = self.longest
-        out = np.full((m, m), NEVER, dtype=object)
         found = self.cuts(s, n)
+        best: dict[tuple[int, int], int] = {}
         if found:
             first, last = found
-            right = {j - n: x for j, x in self.forward(s, last, n, len(s))[0].items() if j >= n}
+            right = {j - n: x for j, x in self.forward(s, last, n, len(s), base)[0].items() if j >= n}
             left: dict[int, int] = {first: 0}
             for i in range(first - 1, -1, -1):
-                left[i] = max((left[j] + x for j, _, x in self.steps(s, i, first)), default=NEVER)
-            for a, x in left.items():
-                for b, y in right.items():
-                    if a < m and b < m:
-                        out[a, b] = max(NEVER, x + y)
+                left[i] = max((left[j] + (x << SHIFT) - base - i for j, _, x in self.steps(s, i, first)))
+            best = {(a, b): x + y for a, x in left.items() if a < m for b, y in right.items() if b < m}
         else:
             for a in range(min(m, n + 1)):
-                for j, x in self.forward(s, a, n, len(s))[0].items():
-                    if j >= n and j - n < m:
-                        out[a, j - n] = max(NEVER, x)
-            for a in range(n, m):  # the piece reaches past the whole chunk
-                out[a, a - n] = max(out[a, a - n], 0)
-        top = max(out.max(), NEVER + 1)
-        return np.array([[max(NEVER, x - top) if x > NEVER else NEVER for x in row] for row in out.tolist()], dtype=np.int64)
+                best |= {(a, j - n): x for j, x in self.forward(s, a, n, len(s), base)[0].items() if n <= j < n + m}
+            best |= {(a, a - n): 0 for a in range(n, m)}  # the piece reaches past the whole chunk
+        out = np.zeros((2, m, m), np.int64)
+        out[0] = NEVER
+        scores = {k: -(-x >> SHIFT) for k, x in best.items()}
+        top = max(scores.values())
+        for k, x in best.items():
+            if scores[k] - top > NEVER:
+                out[0][k], out[1][k] = scores[k] - top, x - (scores[k] << SHIFT)
+        return out
 
     def chunk(self, s: str, n: int, a: int, b: int) -> bytes:
         """Ids of a chunk's best path between two boundary states."""
@@ -230,32 +238,48 @@ def lattice(vocabulary: str) -> Lattice:
     return _loaded[vocabulary]
 
 
+def _scaled(scores: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weights less those of the best, entries without a path alike."""
+    top = scores.max()
+    if top <= NEVER // 2:
+        return np.stack([np.full_like(scores, NEVER), np.zeros_like(sums)])
+    real = scores > NEVER // 2
+    return np.stack([np.where(real, scores - top, NEVER), np.where(real, sums - sums[real].max(), 0)])
+
+
+def _largest(scores: np.ndarray, sums: np.ndarray, axis: int) -> np.ndarray:
+    """The largest weights along an axis, scaled."""
+    top = scores.max(axis=axis, keepdims=True)
+    return _scaled(top.squeeze(axis), np.where(scores == top, sums, LEAST).max(axis=axis))
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product, scaled so that its largest entry is 0; associative up to that scale."""
-    c = np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
-    top = c.max()
-    return np.where(c > NEVER // 2, c - top, NEVER) if top > NEVER // 2 else c
+    """Max-plus product of weights, scaled so that its largest entry is 0; associative up to that scale."""
+    scores, sums = a[:, :, :, None] + b[:, None, :, :]
+    return _largest(scores, sums, 1)
 
 
 def route(matrices: list[np.ndarray], begin: int, end: int) -> list[int]:
     """The boundary states of the best path through a run of matrices, both ends included."""
-    v = np.full(len(matrices[0]), NEVER)
-    v[begin] = 0
+    v = np.zeros((2, matrices[0].shape[1]), np.int64)
+    v[0] = NEVER
+    v[0, begin] = 0
     seen = [v]
     for m in matrices:
-        v = (v[:, None] + m).max(axis=0)
-        seen.append(np.where(v > NEVER // 2, v - v.max(), NEVER))
-        v = seen[-1]
+        scores, sums = v[:, :, None] + m
+        v = _largest(scores, sums, 0)
+        seen.append(v)
     states = [end]
     for v, m in zip(reversed(seen[:-1]), reversed(matrices)):
-        states.append(int((v + m[:, states[-1]]).argmax()))
+        scores, sums = v + m[:, :, states[-1]]
+        states.append(int(np.where(scores == scores.max(), sums, LEAST).argmax()))
     return states[::-1]
 
 
 def _matrices(raws: Iterable[bytes]) -> list[np.ndarray]:
     out = [np.frombuffer(r, "<i8") for r in raws]
-    side = int(len(out[0]) ** 0.5) if out else 0
-    return [m.reshape(side, side) for m in out]
+    side = int((len(out[0]) // 2) ** 0.5) if out else 0
+    return [m.reshape(2, side, side) for m in out]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", chunk: int = CHUNK) -> DataFrame:
@@ -292,7 +316,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary)
         for b in batches:
-            made = [lat.matrix(s, n).astype("<i8").tobytes() for n, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            made = [lat.matrix(s, n, at * chunk).astype("<i8").tobytes() for at, n, s in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["key", "chunk", "m"])
 
     spread = parts.select("key", "chunk", "n", "part").repartition(partitions(docs.sparkSession), "key", "chunk")
