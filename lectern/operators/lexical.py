@@ -244,25 +244,80 @@ def idf(n: int, df: int) -> float:
     return x if x > 0 else LEAST_IDF
 
 
-def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: str, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, id, tf, len) of all rows over the fields searched, the number of rows and of their tokens."""
+
+    postings: DataFrame
+    rows: int
+    tokens: int
+
+
+def _all_atoms(node: Node) -> list[Atom]:
+    return [node.atom] if node.kind == "atom" else [a for p in node.parts for a in _all_atoms(p)]
+
+
+def _plain(node: Node) -> bool:
+    """Is the query made of single words alone, in any column and place?"""
+    if node.kind == "atom":
+        a = node.atom
+        return len(a.words) < 2 and not (a.prefix or a.column or a.first)
+    return node.kind != "near" and all(map(_plain, node.parts))
+
+
+def _matches_counts(node: Node, counts: dict[Atom, Column]) -> Column:
+    """:func:`_matches` of a plain query, from its words' counts."""
+    if node.kind == "atom":
+        return counts[node.atom] > 0 if node.atom.words else F.lit(False)
+    a, *rest = (_matches_counts(p, counts) for p in node.parts)
+    for b in rest:
+        a = a & ~b if node.kind == "not" else a & b if node.kind == "and" else a | b
+    return a
+
+
+def _counts_of_postings(index: Index, tree: Node, wanted: list[Atom]) -> DataFrame:
+    """Lengths, matches and counts for a plain query: its terms' postings are read, no text is."""
+    words = list(dict.fromkeys(w for a in _all_atoms(tree) for w in a.words))
+    held = index.postings.filter(F.col("term").isin(words) if words else F.lit(False))
+    counted = held.groupBy("id").agg(F.max("len").cast("double").alias("len"), *(F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).cast("double").alias(f"w{i}") for i, w in enumerate(words)))
+    counts = {a: F.col(f"w{words.index(a.words[0])}") for a in _all_atoms(tree) if a.words}
+    return counted.select("id", "len", _matches_counts(tree, counts).alias("match"), *(counts[a].alias(f"n{j}") for j, a in enumerate(wanted)))
+
+
+def _candidates(index: Index, wanted: list[Atom]) -> DataFrame:
+    """Ids of the rows with a word of each phrase's own: its longest whole one, or what a prefix begins."""
+    has = F.lit(False)
+    for a in wanted:
+        whole = a.words[:-1] if a.prefix else a.words
+        has = has | (F.col("term") == max(whole, key=len) if whole else F.col("term").startswith(a.words[0]))
+    return index.postings.filter(has).select("id").distinct()
+
+
+def bm25(rows: DataFrame, query: str, fields: dict[str, Column | str], id_col: str, k: int, index: Index | None = None) -> DataFrame:
     """(id, score) of the ``k`` best rows, best first; equal scores by id.
 
     A row's length and a phrase's frequency are pooled over the fields; null fields are empty.
     Texts are read once: each row's length and counts go to a table in the shared folder, which gives one
-    row of corpus statistics and then the scores of the rows that match.
+    row of corpus statistics and then the scores of the rows that match.  With an index a query of single words
+    reads their postings alone; another reads the texts of the rows that can hold one of its phrases.
     """
     tree = parse_query(query, list(fields))
     wanted = atoms_of(tree)
-    tokens = rows.select(F.col(id_col).alias("id"), *(F.coalesce(search_tokens(c), F.array().cast("array<string>")).alias(f"f{i}") for i, c in enumerate(fields.values())))
-    names = {name: F.col(f"f{i}") for i, name in enumerate(fields)}
-    length = sum((F.size(c) for c in names.values()), F.lit(0))
-    counts = tokens.select("id", length.cast("double").alias("len"), _matches(tree, names).alias("match"), *(_count(names, a).cast("double").alias(f"n{j}") for j, a in enumerate(wanted)))
+    if index is not None and _plain(tree):
+        counts = _counts_of_postings(index, tree, wanted)
+    else:
+        rows = rows if index is None else rows.join(_candidates(index, wanted).withColumnRenamed("id", id_col), id_col, "left_semi")
+        tokens = rows.select(F.col(id_col).alias("id"), *(F.coalesce(search_tokens(c), F.array().cast("array<string>")).alias(f"f{i}") for i, c in enumerate(fields.values())))
+        names = {name: F.col(f"f{i}") for i, name in enumerate(fields)}
+        length = sum((F.size(c) for c in names.values()), F.lit(0))
+        counts = tokens.select("id", length.cast("double").alias("len"), _matches(tree, names).alias("match"), *(_count(names, a).cast("double").alias(f"n{j}") for j, a in enumerate(wanted)))
     counts = write_table(counts, "counts")
     stats = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count(F.when(F.col(f"n{j}") > 0, 1)).alias(f"d{j}") for j in range(len(wanted)))).first()
+    n, average = (stats["n"], stats["avg"]) if index is None else (index.rows, index.tokens / max(index.rows, 1))
     score = F.lit(0.0)
     for j in range(len(wanted)):
         f = F.col(f"n{j}")
-        score = score + F.lit(idf(stats["n"], stats[f"d{j}"])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg"] or 1.0)))
+        score = score + F.lit(idf(n, stats[f"d{j}"])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
     hits = counts.filter("match").select(F.col("id"), score.alias("score"))
     return hits.orderBy(F.desc("score"), "id").limit(k)
 

@@ -31,7 +31,10 @@ TABLES = {
     "chunks": "id long, document_id long, chunk_index int, section_path string, heading string, text string, start_byte long, end_byte long, heading_level int, page_physical int, page_logical int, page_section int, page_roman boolean, source_line int",
     "embeddings": "chunk_id long, embedding array<float>",
     "config": "key string, value string",
+    "postings": "term string, id long, tf long, len long",
+    "statistics": "chunks long, tokens long",
 }
+FIELDS = {"text": "text", "heading": "heading", "section_path": "section_path"}
 VERSION = "1"
 
 
@@ -65,7 +68,7 @@ class Corpus:
         c = cls(spark, path)
         if c.snapshot() is None:
             empty = {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
-            c._commit(empty)
+            c._commit(empty | {"statistics": spark.createDataFrame([(0, 0)], TABLES["statistics"])})
         seeds = {"schema_version": VERSION} | (config or {})
         if c.table("config").filter(F.col("key").isin(*seeds)).count() < len(seeds):
             c._commit({"config": updates.put_if_absent(c.table("config"), spark.createDataFrame(sorted(seeds.items()), TABLES["config"]), ["key"])})
@@ -93,6 +96,15 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/data/{self._read(self.snapshot())[name]}")
 
+    def index_of_terms(self) -> lexical.Index:
+        """The postings of all chunks, by term; made on the way for a corpus written without them."""
+        if "postings" in self._read(self.snapshot()):
+            row = self.table("statistics").first()
+            return lexical.Index(self.table("postings"), row["chunks"], row["tokens"])
+        chunks = self.table("chunks")
+        made = write_table(lexical.postings(chunks, list(FIELDS.values()), "id"), "postings")
+        return lexical.Index(made, chunks.count(), made.agg(F.sum("tf")).first()[0] or 0)
+
     def _commit(self, changed: dict[str, DataFrame]) -> None:
         """Write the changed tables, name the folders of the others, and take the next number."""
         old = self.snapshot()
@@ -100,7 +112,10 @@ class Corpus:
         manifest = self._read(old) if old else {}
         for name, df in changed.items():
             manifest[name] = f"{name}-{uuid.uuid4().hex}"
-            df.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.parquet(f"{self.path}/data/{manifest[name]}")
+            df = df.select(*(c.split(" ")[0] for c in TABLES[name].split(", ")))
+            if name == "postings":  # a search reads the row groups of its terms
+                df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+            df.write.parquet(f"{self.path}/data/{manifest[name]}")
         temp, final = self._Path(f"{self.path}/snapshots/_{uuid.uuid4().hex}"), self._Path(f"{self.path}/snapshots/{n:012d}")
         stream = self._fs.create(self._Path(f"{temp}/manifest.json"))
         try:
@@ -164,6 +179,7 @@ class Corpus:
         good = write_table(numbered.join(left_out, "document_id", "left_anti"), "good")
         stamp = int(time.time()) if now is None else now
         kept_docs, kept_chunks, kept_vectors = updates.cascade(documents, chunks, vectors, good.select("path"))
+        gone = write_table(self._chunks_of(good.select("path")), "gone")
         new_docs = good.join(heads.select("document_id", "title", "metadata"), "document_id", "left").select(F.col("document_id").alias("id"), "path", "format", "title", "content_hash", F.nullif("metadata", F.lit("{}")).alias("metadata"), F.lit(stamp).cast("long").alias("indexed_at"))
         new_chunks = made.join(good.select("document_id"), "document_id", "left_semi")
         changed = {"documents": kept_docs.unionByName(new_docs), "chunks": kept_chunks.select(*chunks.columns).unionByName(new_chunks.select(*chunks.columns))}
@@ -171,6 +187,8 @@ class Corpus:
             changed["embeddings"] = kept_vectors.unionByName(got.filter("NOT failed").join(new_chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "embedding"))
         else:
             changed["embeddings"] = kept_vectors
+        posted = write_table(lexical.postings(new_chunks, list(FIELDS.values()), "id"), "postings")
+        changed |= self._with_terms(gone, posted, new_chunks.count())
         if dim is not None and known is None:
             changed["config"] = self._with_config("embedding_dim", str(dim))
         tally = Tally(good.count(), marked.filter("action = 'unchanged'").count(), broken.count(), deferred.count())
@@ -181,8 +199,24 @@ class Corpus:
         documents = self.table("documents")
         if documents.filter(F.col("path") == path).isEmpty():
             raise DocumentNotFound(path)
-        gone = self.spark.createDataFrame([(path,)], "path string")
-        self._commit(dict(zip(("documents", "chunks", "embeddings"), updates.cascade(documents, self.table("chunks"), self.table("embeddings"), gone))))
+        paths = self.spark.createDataFrame([(path,)], "path string")
+        kept = dict(zip(("documents", "chunks", "embeddings"), updates.cascade(documents, self.table("chunks"), self.table("embeddings"), paths)))
+        self._commit(kept | self._with_terms(write_table(self._chunks_of(paths), "gone"), None, 0))
+
+    def _chunks_of(self, paths: DataFrame) -> DataFrame:
+        """Ids of the chunks of the documents at ``paths``."""
+        docs = self.table("documents").join(paths.distinct(), "path", "left_semi").select(F.col("id").alias("document_id"))
+        return self.table("chunks").join(docs, "document_id", "left_semi").select("id")
+
+    def _with_terms(self, gone: DataFrame, posted: DataFrame | None, n: int) -> dict[str, DataFrame]:
+        """Postings and statistics without the chunks ``gone`` and with those of ``n`` new ones."""
+        old = self.index_of_terms()
+        tokens = lambda t: t.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        chunks, total = old.rows - gone.count() + n, old.tokens - tokens(old.postings.join(gone, "id", "left_semi"))
+        kept = old.postings.join(gone, "id", "left_anti")
+        if posted is not None:
+            kept, total = kept.unionByName(posted), total + tokens(posted)
+        return {"postings": kept, "statistics": self.spark.createDataFrame([(chunks, total)], TABLES["statistics"])}
 
     def set_config(self, key: str, value: str) -> None:
         self._commit({"config": self._with_config(key, value)})
@@ -226,7 +260,7 @@ class Corpus:
             mode = "exact"
         o = fusion.SearchOptions(mode=mode, limit=limit)
         chunks, documents = self.table("chunks"), self.table("documents")
-        text = None if mode == "similar" else lexical.bm25(chunks, query, {"text": "text", "heading": "heading", "section_path": "section_path"}, "id", o.budget)
+        text = None if mode == "similar" else lexical.bm25(chunks, query, FIELDS, "id", o.budget, self.index_of_terms())
         near = None if mode == "exact" or query_vector is None else vector.nearest(self.table("embeddings"), query_vector, o.budget)
         fused = fusion.fuse(text, near, chunks.select("id", "heading_level"), o)
         return fusion.resolve(fused, chunks, documents, o, format_filter)

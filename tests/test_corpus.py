@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.operators import aggregates, fusion, vector
+from lectern.operators import aggregates, fusion, lexical, vector
 from lectern.operators.chunk import ChunkOptions, chunk, chunk_sections, split_bytes
 from lectern.plans.corpus import Corpus, DocumentNotFound
 from lectern.sources import embedder
@@ -193,6 +193,35 @@ def test_corpus(spark, tmp_path):
     assert c.status()["documents"] == 2
 
 
+def test_search_by_postings(spark, tmp_path):
+    """A search by postings finds what a scan of all chunks finds, after an index run, an update and a removal."""
+    from lectern.plans.corpus import FIELDS
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i in range(12):
+        (docs / f"f{i}.md").write_text(f"# Part {i}\n\n## Terms\n\nThe party of the {'first' if i % 2 else 'second'} part, clause {i}, party {i % 3}.\n\n## Law\n\nLaw of the land and caf\u00e9 law.\n")
+    c = Corpus.open(spark, f"file://{tmp_path}/db")
+    assert c.search("law", "exact").count() == 0
+    queries = ["party", "law", "first clause", "first OR 3", "law NOT cafe", '"of the"', '"the first" OR law', "cla*", "^law", "heading: law", "NEAR(party part, 3)", "zebra", "zebra OR party", "party party", '"of the fi"*', "(party OR law) NOT (second OR cafe)"]
+
+    def same():
+        chunks, index = c.table("chunks"), c.index_of_terms()
+        assert index.rows == chunks.count()
+        for q in queries:
+            want = [(r["id"], round(r["score"], 9)) for r in lexical.bm25(chunks, q, FIELDS, "id", 50).collect()]
+            got = [(r["id"], round(r["score"], 9)) for r in lexical.bm25(chunks, q, FIELDS, "id", 50, index).collect()]
+            assert got == want, q
+
+    c.index(f"file://{docs}")
+    same()
+    (docs / "f3.md").write_text("# Part 3\n\nNothing but law, law, law.\n")
+    (docs / "f12.md").write_text("# New\n\nThe first party.\n")
+    c.index(f"file://{docs}")
+    c.remove("f5.md")
+    same()
+
+
 def test_fusion_goldens(spark):
     one = spark.createDataFrame([(1, 2.0)], "id long, score double")
     near = spark.createDataFrame([(1, 0.1)], "id long, distance double")
