@@ -12,7 +12,6 @@ The rules read one row at a time: one scan, no exchange.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,16 +84,29 @@ def script_of(raw: bytes) -> str:
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
-    """Words inside a window of ``width`` words that occurs at least twice, its first time included."""
-    windows = list(zip(*(words[k:] for k in range(width))))
-    if len(set(windows)) == len(windows):
+    """Words inside a window of ``width`` words that occurs at least twice, its first time included.
+
+    Windows are numbers: that of the words before, times the words' number, plus the last word's, told apart anew
+    at each width.  So a window costs some bytes and no object, however long the text."""
+    n = len(words) - width + 1
+    if n < 2:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    windows = ids
+    for k in range(1, width):
+        windows = windows[: len(ids) - k] * len(number) + ids[k:]
+        if k < width - 1 and len(number) ** (k + 2) >= 1 << 63:
+            windows = np.unique(windows, return_inverse=True)[1]
+    order = np.sort(windows)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
         return 0
-    seen, mark = Counter(windows), bytearray(len(words))
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            for k in range(i, i + width):
-                mark[k] = 1
-    return sum(mark)
+    edges = np.zeros(len(words) + 1, np.int32)
+    hit = np.flatnonzero(np.isin(windows, twice))
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + width, -1)
+    return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
 def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
