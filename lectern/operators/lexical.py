@@ -1,6 +1,6 @@
 """Full-text search: postings, a small query language, BM25 top-k.
 
-At scale a corpus is tokenised once into a postings table (term, id, tf, positions) with a
+At scale a corpus is tokenised once into a postings table (term, id, tf, len), with a
 table of lengths; a query then reads only the rows of its terms (``write_postings`` lays the
 table out sorted by term, so row groups of other terms are skipped) and aggregates them.
 Only three numbers of the corpus and the candidates of one query are ever gathered.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import aggregates, fusion, lexical, metrics, updates, vector
+from .scratch import write_table
 from .sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,27 @@ def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, "worth*")
 
 
+def _indexed_bm25(spark: SparkSession, sf_dir: str, q: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    made = write_table(lexical.postings(docs, ["text"], "doc_id"), "postings")
+    index = lexical.Index(made, docs.count(), made.agg(F.sum("tf")).first()[0] or 0)
+    top = lexical.bm25(docs, q, {"text": "text"}, "doc_id", 10, index)
+    found = docs.select("doc_id", "source", "lang").join(F.broadcast(top), F.col("doc_id") == F.col("id"))  # ten rows
+    return found.select("doc_id", "source", "lang", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("n0 > 0 AND without = 0", [_count("that")], _count("with")))
+def indexed_bm25_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of single words, from their postings alone."""
+    return _indexed_bm25(spark, sf_dir, "that NOT with")
+
+
+@query(_bm25_sql("n0 > 0", ["len(list_filter(range(len(t) - 1), lambda i: t[i + 1] = 'of' AND t[i + 2] = 'the'))"]))
+def indexed_bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase: postings name the texts that are read."""
+    return _indexed_bm25(spark, sf_dir, '"of the"')
+
+
 @query(f"""
 WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS term FROM tok)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM u GROUP BY term""")
