@@ -55,6 +55,11 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [mask | m for m in _family([i for i in range(BITS) if not mask >> i & 1], radius)] if radius < 6 else [mask]
 
 
+def covering_keys(fp: str, radius: int = 3) -> Column:
+    """The keys of a fingerprint's buckets, one for each covering table: fingerprints within the radius share one for certain."""
+    return F.array(*(F.xxhash64(F.lit(t), F.col(fp).bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))) for t, m in enumerate(covering_masks(radius))))
+
+
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> bytes:
     """Eight bytes for each shingle of ``width`` words, or for all words if they are fewer."""
     text = b" ".join(words)

@@ -1,7 +1,12 @@
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lectern.llm import shingles
+from lectern.llm import shingles, simhash
+from lectern.llm.components import components
+from lectern.scratch import write_table
 from tests.llm.conftest import prose, rows
 from tests.llm.test_simhash import brute_components
 
@@ -72,3 +77,38 @@ def test_odd_rows(docs, empty):
     assert sorted(got, key=order) == sorted(((r[0], c) for r, c in zip(data, want)), key=order)
     assert shingles.near_duplicates(empty).count() == 0 and shingles.one_of_each(empty).count() == 0
     assert shingles.one_of_each(docs).columns == docs.columns
+
+
+def within_three_bits(data):
+    """Pairs whose fingerprints over their shingle sets differ in three bits or fewer."""
+    fps = [simhash.majority(shingles.shingle_set(t.encode()).byteswap().tobytes()) for _, t in data]
+    return lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3
+
+
+def component_of(links, data):
+    least = {r["node"]: r["root"] for r in components(links).distinct().collect()} if links is not None else {}
+    node = [xxhash.xxh64_intdigest(shingles.shingle_set(t.encode()).tobytes(), 7) for _, t in data]
+    node = [n - 2**64 if n >= 2**63 else n for n in node]
+    first = {}
+    return [first.setdefault(least.get(n, n), i) for n, (i, _) in zip(node, data)]
+
+
+def test_covering_tables_and_bands_have_pairs_of_their_own(spark, monkeypatch):
+    """Without a band the tables link all pairs within three bits that the sets confirm; without the tables the bands link the others alone."""
+    data = []
+    for g in range(12):
+        words = prose(500 + g, 250).split()
+        data += [(10 * g + k, " ".join(words[:at] + [f"new{k}"] * (k > 0) + words[at:])) for k, at in enumerate((0, 40, 110, 245))]
+    sets, close = [grams(t) for _, t in data], within_three_bits(data)
+    confirmed = lambda a, b: similar(sets[a], sets[b])
+    of = lambda test: brute_components([i for i, _ in data], sets, test)
+    tables, bands = of(lambda a, b: close(a, b) and confirmed(a, b)), of(lambda a, b: not close(a, b) and confirmed(a, b))
+    both = of(confirmed)
+    assert tables != both and bands != both and len(set(tables)) < len(data)
+
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    rows = write_table(shingles.signatures(df), "signatures")
+    assert component_of(shingles.similar_links(df, rows.withColumn("bands", F.array().cast("array<bigint>")), (4, 5)), data) == tables
+    assert component_of(shingles.similar_links(df, rows, (4, 5)), data) == both
+    monkeypatch.setattr(shingles, "covering_keys", lambda fp, radius: F.array().cast("array<bigint>"))
+    assert component_of(shingles.similar_links(df, rows, (4, 5)), data) == bands
